@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, exact, minhash, packing
+from quillmark.llm import decontam, exact, minhash, packing, suffixarray, suffixtree
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,6 +40,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixtree.substring_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixarray.suffix_array_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -51,6 +61,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
@@ -98,4 +110,33 @@ SELECT d.doc_id, coalesce(c, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2, "op6_exact_dedup": _OP6, "op7_minhash_near_dedup": _OP7}
+_OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 49)) AS t(i)),
+low AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS k FROM win JOIN low USING (h) WHERE m < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS k FROM d),
+kept AS (
+  SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t
+  FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.k = gone.k GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_OP5 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pos AS (SELECT doc_id, p, md5(substring(x, 2 * p + 1, 800)) AS h FROM d, unnest(generate_series(0, length(x) // 2 - 400)) AS t(p)),
+again AS (SELECT h FROM pos GROUP BY h HAVING count(*) > 1),
+dup AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM pos SEMI JOIN again USING (h)),
+isle AS (SELECT doc_id, p, count(*) FILTER (gap IS NULL OR gap > 400) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM dup),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM isle GROUP BY doc_id, g),
+part AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM span
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), length(any_value(x)) // 2 FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, string_agg(substring(x, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS t FROM part JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS r, count(*) AS n FROM span GROUP BY doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2, "op3_substring_dedup": _OP3, "op5_suffix_array_dedup": _OP5, "op6_exact_dedup": _OP6, "op7_minhash_near_dedup": _OP7}
