@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, exact, minhash, packing, suffixarray, suffixtree
+from quillmark.llm import decontam, exact, linetemplate, lm, minhash, packing, pii, suffixarray, suffixtree, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -45,6 +45,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.PATTERNS]
+    return out.select("doc_id", "text", F.size("found").cast("bigint").alias("n_found"), *counts)
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixarray.suffix_array_dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -58,13 +64,34 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(_read(spark, sf_dir, "documents"))
+
+
+def op9_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linetemplate.line_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_line_template_dedup": op9_line_template_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 _OP6 = """
@@ -125,7 +152,8 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 _OP5 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-pos AS (SELECT doc_id, p, md5(substring(x, 2 * p + 1, 800)) AS h FROM d, unnest(generate_series(0, length(x) // 2 - 400)) AS t(p)),
+piece AS (SELECT doc_id, c * 500 AS base, substring(x, c * 1000 + 1, 1798) AS y FROM d, unnest(generate_series(0, length(x) // 1000)) AS t(c)),
+pos AS (SELECT doc_id, base + i AS p, md5(substring(y, 2 * i + 1, 800)) AS h FROM piece, unnest(generate_series(0, length(y) // 2 - 400)) AS t(i)),
 again AS (SELECT h FROM pos GROUP BY h HAVING count(*) > 1),
 dup AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM pos SEMI JOIN again USING (h)),
 isle AS (SELECT doc_id, p, count(*) FILTER (gap IS NULL OR gap > 400) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM dup),
