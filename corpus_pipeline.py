@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, packing
-from quillmark.llm.queries import tokenizer_path
+from quillmark.llm import decontam, linetemplate, minhash, packing, toxicity
+from quillmark.llm.queries import held_out, tokenizer_path
 from quillmark.llm.storage import discard, written
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression-distance classifier rejects go. It learns from labelled
+    documents that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template recurs across documents go; their documents stay."""
+    return _counted(linetemplate.line_dedup(docs)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, 0.8 or more) stays."""
+    return minhash.drop_near_copies(docs, percent=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
-    clean = decontam.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return clean.withColumn("n_chars", F.length("text").cast("bigint"))
+    return _counted(decontam.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +43,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("decontamination", decontaminate), ("packing", pack)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_recurring_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
-#: SQL can't express token packing; tests hold the stages against brute-force versions.
+#: SQL can't express the classifier, the template tree and packing; tests hold the stages
+#: against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -65,7 +65,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 def _rows(size: int):
-    kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_hash": pa.binary(), "bands": pa.list_(pa.int64()), "bits": pa.list_(pa.int64())}
+    kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "n_shingles": pa.int64(), "set_hash": pa.binary(), "bands": pa.list_(pa.int64()), "bits": pa.list_(pa.int64())}
 
     def run(batches):
         for batch, buf, bounds in scan.pieces(batches, "text"):
@@ -80,8 +80,8 @@ def _rows(size: int):
                 for k, x, y in zip(full, keys, packed, strict=True):
                     bands[k], bits[k] = x, y
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            columns = [batch.column(0), [len(s) for s in sets], digest, bands, bits]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+            columns = [batch.column(0), batch.column(1), [len(s) for s in sets], digest, bands, bits]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     return run
 
@@ -144,13 +144,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Each candidate is confirmed on the full sets. At 0.85 a pair shares no band with a
     probability of 7e-9 (0.80: 3e-6).
 
-    Returns doc_id, n_shingles, component_id (smallest id reachable) and kept (it is that id).
-    Null or empty texts have no shingles and stay by themselves; a null id stays null and kept;
-    rows that repeat an id are one node; an empty table gives no rows; other columns are
-    ignored.
+    Returns doc_id, mark (xxhash64 of the text), n_shingles, component_id (smallest id
+    reachable) and kept (it is that id). Null or empty texts have no shingles and stay by
+    themselves; a null id stays null and kept; rows that repeat an id are judged by their own
+    texts; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = written(rows.mapInArrow(_rows(size), "doc_id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"))
+    marked = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    signed = written(marked.mapInArrow(_rows(size), "doc_id long, mark long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"))
     classes = written(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     )
@@ -180,6 +181,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     label = connected_components(links).toDF("rep", "component_id")
     labels = classes.join(label, "rep", "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(labels, "set_hash", "left")
+    out = signed.select("doc_id", "mark", "n_shingles", "set_hash").join(labels, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
+    """docs with the smallest id of each component only; columns stay."""
+    gone = near_dedup(docs, id_col, text_col, percent, size).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
+    mark = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone_id"]) & (mark == gone["_gone_mark"]), "left_anti")

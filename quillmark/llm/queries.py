@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import decontam, exact, linetemplate, lm, minhash, packing, pii, suffixarray, suffixtree, toxicity
@@ -22,6 +22,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def held_out() -> Column:
+    """Rows that no classifier learns a label from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -61,7 +66,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(_read(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_dedup(_read(spark, sf_dir, "documents"), percent=85).drop("mark")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +80,9 @@ def op9_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = toxicity.train(docs, labels.where(~held_out))
+    model = toxicity.train(docs, labels.where(~held_out()))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
