@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Phrases that show a page isn't the document asked for.
 BODY_SUSPECT = {
@@ -45,7 +46,7 @@ def compact_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s-]+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, casefold, white space collapsed. Python: Spark has no Unicode normaliser."""
     import unicodedata
@@ -54,7 +55,7 @@ def folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def accents_folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFD without marks, lower-case letters and digits only. Python for the same reason."""
     import unicodedata

@@ -31,7 +31,8 @@ def version(column: Column) -> Column:
 def next_id(df: DataFrame, id_col: str, prefix: str = "F") -> DataFrame:
     """One row: the prefix and the largest number so far plus one, three digits at least."""
     n = F.max(F.regexp_extract(id_col, rf"^{prefix}(\d{{3,}})$", 1).try_cast("bigint"))
-    return df.agg(F.concat(F.lit(prefix), F.lpad((F.coalesce(n, F.lit(0)) + 1).cast("string"), 3, "0")).alias("next_id"))
+    new = (F.coalesce(n, F.lit(0)) + 1).cast("string")
+    return df.agg(F.concat(F.lit(prefix), F.when(F.length(new) >= 3, new).otherwise(F.lpad(new, 3, "0"))).alias("next_id"))
 
 
 def reference_issues(facts: DataFrame, evidence: DataFrame) -> DataFrame:

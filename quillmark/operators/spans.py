@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.functions.text import clean_line, collapse
 
@@ -78,7 +79,7 @@ def find_span(lines: list[str], quote: str, most: int = WINDOW_LINES) -> tuple[i
     return None
 
 
-@F.pandas_udf("struct<line:int,end:int>")
+@F.pandas_udf(T.StructType().add("line", T.IntegerType()).add("end", T.IntegerType()))
 def span_of(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Window of a quote (second column) in a text (first), null if it isn't there. Python:
     the window search has no built-in form; containment is tested before it is called."""

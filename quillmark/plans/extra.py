@@ -1,4 +1,178 @@
-"""Queries over literal rows, and streaming."""
+"""Queries over literal rows, text structures, and streams."""
+
+from __future__ import annotations
+
+import json
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmark.catalog import table
+from quillmark.functions import quantity, refs, semantics
+from quillmark.functions import text as tx
+from quillmark.operators import logs, provenance, rules, spans
+from quillmark.sources import html, markdown
+from quillmark.streaming import logs as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+FACT_SCHEMA = {
+    "required": ["id", "claim", "status"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "string", "pattern": r"F\d{3,}"},
+        "claim": {"type": "string"},
+        "status": {"type": "string", "enum_ref": "status"},
+        "observed_at": {"type": ["string", "null"], "format": "iso-time"},
+        "schema_version": {"type": "integer"},
+        "context": {"type": "object", "required": ["metric"], "properties": {"metric": {"type": "string"}, "year": {"type": "integer"}}},
+        "evidence_ids": {"type": "array", "minItems": 1},
+    },
+}
+ENUMS = {"status": ["draft", "confirmed", "disputed", "discarded"]}
+FACTS = [
+    {"id": "F001", "claim": "a", "status": "confirmed", "evidence_ids": ["E001"], "context": {"metric": "m", "year": 2020}},
+    {"id": "F1", "claim": " ", "status": "draft"},
+    {"id": "F003", "claim": "c", "status": "sure", "observed_at": "2020-13", "schema_version": True},
+    {"id": "F004", "status": "draft", "extra": 1, "evidence_ids": [], "context": {"year": "x"}},
+]
+
+
+@query()
+def ledger_rule_violations(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(json.dumps(f),) for f in FACTS], "raw string")
+    return rules.violations(rows.withColumn("id", F.get_json_object("raw", "$.id")), rules.compile_rules(F.col("raw"), FACT_SCHEMA, ENUMS), "id")
+
+
+REPORT = """# Report
+The plant has 20 MW (F001) and cost $4.5 million (F002). Output rose 3.2% [F003]... and more.
+
+| item | value |
+|---|---|
+| capacity | 120 MW (F004) |
+
+<!-- FACTSHEET:APPENDIX -->
+## Appendix
+"""
+
+
+@query()
+def sentence_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.createDataFrame([(1, REPORT)], "doc int, text string").withColumn("text", markdown.body(F.col("text")))
+    return docs.select("doc", F.posexplode(markdown.segments(F.col("text"))).alias("segment", "sentence"))
+
+
+@query()
+def number_binding(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_segments(spark, d).select("segment", F.explode(quantity.bound_numbers("sentence")).alias("n")).select("segment", "n.*")
+
+
+@query()
+def unit_resolution(spark: SparkSession, d: str) -> DataFrame:
+    units = spark.createDataFrame([(u,) for u in ("MW", "mW", "USD_B", "EUR million", "백만 EUR", "억원", "USD_X", "%", "MW (net)", "", "parsec")], "unit string")
+    return units.select("unit", quantity.unit_of("unit").alias("u")).select("unit", "u.*")
+
+
+@query()
+def sentences_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.size(markdown.segments(F.col("text"))).alias("sentences"))
+
+
+@query()
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.size(html.page_images("html", "url")).alias("images"))
+
+
+@query()
+def quote_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Line windows of the benchmark passages in the documents that contain them."""
+    quotes, docs = table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text")
+    hits = spans.contained_quotes(quotes, docs, "item_id", "doc_id")
+    pairs = hits.join(quotes.withColumnRenamed("text", "quote"), "item_id").join(docs, "doc_id")
+    return pairs.select("item_id", "doc_id", spans.span_of("text", "quote").alias("s")).select("item_id", "doc_id", "s.*")
+
+
+@query()
+def field_semantics(spark: SparkSession, d: str) -> DataFrame:
+    return semantics.field_semantics(table(spark, d, "part"))
+
+
+@query()
+def receipt_currency(spark: SparkSession, d: str) -> DataFrame:
+    receipts = spark.createDataFrame(
+        [("G1", 1, "r1", 0, {}), ("G2", 2, "r2", 0, {"G1": "r1"}), ("G1", 3, "r3", 0, {}), ("G3", 4, "r4", 0, {"G2": "r2"}), ("G4", 5, "r5", 1, {})],
+        "gate string, seq int, receipt_id string, exit int, prerequisite_receipts map<string,string>",
+    )
+    refs_ = spark.createDataFrame([("r4", "a", "aa"), ("r3", "b", "missing")], "receipt_id string, path string, sha256 string")
+    files = spark.createDataFrame([("a", "bb")], "path string, sha256 string")
+    out = provenance.receipt_issues(receipts, provenance.reference_states(refs_, files), ["G1", "G2", "G3", "G4"])
+    return out.select("gate", "receipt_id", F.array_join("issues", ",").alias("issues"), "ok")
+
+
+@query("""
+SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN regexp_matches(c_name, '^[A-Za-z0-9]') THEN 0 ELSE 2 END, lower(c_name), c_name, c_custkey)::INT AS place FROM customer""")
+def script_collation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*refs.collation(F.col("c_name")), "c_custkey")).alias("place"))
+
+
+@query("""
+SELECT count(*) FILTER (text LIKE '%@%') AS with_mail, count(*) FILTER (regexp_matches(text, '(?i)(key|secret|password|auth|token)=')) AS with_secret FROM documents""")
+def secret_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").agg(F.count_if(F.col("text").contains("@")).alias("with_mail"), F.count_if(F.col("text").rlike("(?i)(key|secret|password|auth|token)=")).alias("with_secret"))
+
+
+@query("SELECT conv_id, turn, len(regexp_extract_all(text, '\\d[\\d,]*(?:\\.\\d+)?'))::INT AS n FROM conversations")
+def number_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(tx.number_tokens(F.col("text"))).alias("n"))
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("""
+SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def stream_last_state(spark: SparkSession, d: str) -> DataFrame:
+    """The log read as a stream, the last row of each key kept in a dataset."""
+    at = _folder(spark)
+    events = table(spark, d, "events")
+    stream = streams.read_log(spark, f"{d}/events.parque[t]", events.schema, format="parquet")
+    stream = stream.select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    streams.upsert_once(stream, f"{at}/state", f"{at}/checkpoint", "user_id", "at")
+    return spark.read.parquet(f"{at}/state").select("user_id", "event_type")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: counts in tumbling windows."""
+    return streams.counts_by_window(table(spark, d, "events"), "ts", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: sessions closed by half an hour without events."""
+    return streams.sessions(table(spark, d, "events"), "ts", "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def latest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return logs.latest(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
