@@ -107,10 +107,34 @@ def lowest(threshold: float) -> float:
     return threshold - SLACK * math.sqrt(agree * (1 - agree) / (BANDS * ROWS)) / (1 - chance)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _texts_of(ids: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """id, text of the representatives among ids."""
+    return texts.join(marks.join(ids, "id", "left_semi"), ["id", "mark"], "left_semi").select("id", "text")
+
+
+def _shingles(size: int):
+    """Arrow function: id, text to id, shingle."""
+
+    def run(batches):
+        for batch in scan.slices(batches, "text"):
+            sets = [shingle_set(np.frombuffer(t.as_buffer(), np.uint8), size) for t in batch.column(1)]
+            n = np.array([len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+
+    return run
+
+
+def _alone(ids: DataFrame, texts: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """rep, alone: how many shingles of each of the ids none of the others has."""
+    found = _texts_of(ids, texts, marks).mapInArrow(_shingles(size), "id long, shingle long")
+    single = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs a, b whose full shingle sets meet the threshold."""
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = texts.join(needed, "id", "left_semi")
+    own = _texts_of(needed, texts, marks)
     full = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
@@ -153,7 +177,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     signed = written(marked.mapInArrow(_rows(size), "doc_id long, mark long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"))
     classes = written(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "mark")).alias("r"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        .select("set_hash", F.col("r.doc_id").alias("rep"), F.col("r.mark").alias("mark"), "size", "bands", "bits")
     )
     places = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -165,19 +190,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     star = places.join(pivots, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     star = star.join(bits.toDF("b", "bits_b"), "b").join(bits.toDF("a", "bits_a"), "a").where(estimate(F.col("bits_a"), F.col("bits_b")) >= cut).select("a", "b")
-    texts = rows.withColumnRenamed("doc_id", "id")
-    links = written(_confirm(star, texts, percent, size))
+    texts, marks = marked.withColumnRenamed("doc_id", "id"), classes.select(F.col("rep").alias("id"), "mark")
+    links = written(_confirm(star, texts, marks, percent, size))
 
     first = connected_components(links).toDF("rep", "part")
     member = places.join(first, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
     parts = member.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
-    member = written(member.join(largest, "bucket").join(bits, "rep"))
-    x = member.where("part != main").select("bucket", F.col("rep").alias("a"), F.col("part").alias("part_a"), F.col("bits").alias("bits_a"))
-    y = member.select("bucket", F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("bits").alias("bits_b"), (F.col("part") == F.col("main")).alias("is_main"))
-    rest = x.join(y, "bucket").where((F.col("part_a") != F.col("part_b")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & (estimate(F.col("bits_a"), F.col("bits_b")) >= cut))
+    member = written(member.join(largest, "bucket"))
+    alone = _alone(member.select(F.col("rep").alias("id")).distinct(), texts, marks, size)
+    known = classes.select("rep", "bits", "size").join(alone, "rep", "left").select("rep", "bits", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    member = written(member.join(known, "rep"))
+    own = lambda s: [F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("part", "bits", "size", "most")]]
+    x = member.where("part != main").select("bucket", *own("a"))
+    y = member.select("bucket", *own("b"), (F.col("part") == F.col("main")).alias("is_main"))
+    # two sets share at most what either has in common with anyone
+    common = F.least("most_a", "most_b")
+    possible = 100 * common >= percent * (F.col("size_a") + F.col("size_b") - common)
+    apart = (F.col("part_a") != F.col("part_b")) & (F.col("is_main") | (F.col("a") < F.col("b")))
+    rest = x.join(y, "bucket").where(apart & possible & (estimate(F.col("bits_a"), F.col("bits_b")) >= cut))
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = links.union(_confirm(rest, texts, percent, size))
+    links = links.union(_confirm(rest, texts, marks, percent, size))
 
     label = connected_components(links).toDF("rep", "component_id")
     labels = classes.join(label, "rep", "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
