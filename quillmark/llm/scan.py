@@ -180,3 +180,13 @@ def pieces(batches, column: str, limit: int = SEGMENT) -> Iterator[tuple[pa.Reco
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, side="right")) - 1)
             yield batch.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
             i = j
+
+
+def slices(batches, column: str, limit: int = 2 * SEGMENT) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about `limit` bytes of text, and the memory of each batch given
+    back once its slices are used: a worker that waits for its next task then holds little."""
+    for batch in batches:
+        for part, _, _ in pieces([batch], column, limit):
+            yield part
+        del batch
+        pa.default_memory_pool().release_unused()
