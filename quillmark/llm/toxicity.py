@@ -155,12 +155,14 @@ def fit(sample: list[tuple[bytes, int]], share: dict[int, float]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, bytes_each: int = SAMPLE_BYTES) -> Model:
     """Fits on at most `rows` labelled rows of each label, drawn by a hash of the id."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    pool = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where((F.octet_length("text") > 0) & (F.octet_length("text") <= bytes_each)).join(known, "id")
+    size = F.octet_length(F.col(text_col).cast("string"))
+    # ids and sizes are joined and ordered; texts are read for the drawn ids alone
+    pool = docs.select(F.col(id_col).alias("id"), size.alias("size")).where((F.col("size") > 0) & (F.col("size") <= bytes_each)).join(known, "id")
     total = {r["label"]: r["n"] for r in pool.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = []
-    for label in (0, 1):
-        drawn = pool.where(F.col("label") == label).select("text").orderBy(F.xxhash64("id", "text"), "text").limit(rows)
-        sample += [(r["text"].encode(), label) for r in drawn.collect()]
+    drawn = pool.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(rows).union(pool.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(rows))
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in drawn.select("id", "label").distinct().collect()], "id long, label int")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where((size > 0) & (size <= bytes_each)).join(F.broadcast(ids), "id")  # 2 * rows at most
+    sample = [(r["text"].encode(), r["label"]) for r in chosen.orderBy(F.xxhash64("id"), "id", "text").limit(2 * rows).collect()]
     share = {label: min(1.0, rows / max(1, total.get(label, 0))) for label in (0, 1)}
     return fit(sample, share)
 
