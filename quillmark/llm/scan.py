@@ -8,11 +8,15 @@ compare content (or 128 bits of it) before they decide.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SEGMENT = 1 << 20
@@ -170,6 +174,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker outlives its task, and what it keeps
+    counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches, column: str, limit: int = SEGMENT) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batches with about `limit` bytes of text (one text at least), each with its
     byte buffer and offsets."""
@@ -180,13 +192,11 @@ def pieces(batches, column: str, limit: int = SEGMENT) -> Iterator[tuple[pa.Reco
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, side="right")) - 1)
             yield batch.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
             i = j
+        del batch, data, bounds
+        give_back()
 
 
 def slices(batches, column: str, limit: int = 2 * SEGMENT) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about `limit` bytes of text, and the memory of each batch given
-    back once its slices are used: a worker that waits for its next task then holds little."""
-    for batch in batches:
-        for part, _, _ in pieces([batch], column, limit):
-            yield part
-        del batch
-        pa.default_memory_pool().release_unused()
+    """Slices of batches with about `limit` bytes of text."""
+    for part, _, _ in pieces(batches, column, limit):
+        yield part
