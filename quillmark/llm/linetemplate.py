@@ -39,8 +39,8 @@ def _fold(values: np.ndarray, start: np.ndarray, count: np.ndarray, limit: int |
 
 
 def parse(buf: np.ndarray, bounds: np.ndarray):
-    """(text, line number in it, leaf, deeper leaf, line, surroundings, token starts, token
-    ends, first token, tokens, wild flags) of the lines that have a token.
+    """(text, line number in it, leaf, deeper leaf, line, surroundings, content, token starts,
+    token ends, first token, tokens, wild flags) of the lines that have a token.
 
     Tokens with a digit are variable fields and hash alike. A line's surroundings are the
     lines with tokens before and after it in its text."""
@@ -64,21 +64,37 @@ def parse(buf: np.ndarray, bounds: np.ndarray):
     before[1:][same] = whole[:-1][same]
     after[:-1][same] = whole[1:][same]
     around = scan.mix(before * np.uint64(3) + scan.mix(after))
-    return own, number[head], _fold(hashes, head, count, DEPTH), _fold(hashes, head, count, DEEPER), line, around, start, end, head, count, wild
+    return own, number[head], _fold(hashes, head, count, DEPTH), _fold(hashes, head, count, DEEPER), line, around, whole, start, end, head, count, wild
+
+
+def _contents(text: np.ndarray, whole: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exclusive or of each text's distinct lines, and their tokens in all."""
+    by = np.lexsort((whole, text))
+    new = np.ones(len(by), bool)
+    new[1:] = (text[by][1:] != text[by][:-1]) | (whole[by][1:] != whole[by][:-1])
+    by = by[new]
+    total, size = np.zeros(texts, np.uint64), np.zeros(texts, np.int64)
+    np.bitwise_xor.at(total, text[by], whole[by])
+    np.add.at(size, text[by], count[by])
+    return total, size
+
+
+KEYS = ["doc_id", "mark", "number", "leaf", "deeper", "line", "around", "whole", "n", "total", "size"]
 
 
 def _keys(batches):
     for batch, buf, bounds in scan.pieces(batches, "text"):
-        text, number, leaf, deeper, line, around, *_ = parse(buf, bounds)
+        text, number, leaf, deeper, line, around, whole, _, _, _, count, _ = parse(buf, bounds)
+        total, size = _contents(text, whole, count, batch.num_rows)
         doc, mark = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "mark"))
-        columns = [doc, mark, number, leaf.view(np.int64), deeper.view(np.int64), line.view(np.int64), around.view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "mark", "number", "leaf", "deeper", "line", "around"])
+        columns = [doc, mark, number, leaf.view(np.int64), deeper.view(np.int64), line.view(np.int64), around.view(np.int64), whole.view(np.int64), count, total.view(np.int64)[text], size[text]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], KEYS)
 
 
 def _tokens(batches):
     """Each distinct line of a slice with its tokens, variable fields as WILD."""
     for _, buf, bounds in scan.pieces(batches, "text"):
-        _, _, _, _, line, _, start, end, head, count, wild = parse(buf, bounds)
+        _, _, _, _, line, _, _, start, end, head, count, wild = parse(buf, bounds)
         names, at = np.unique(line, return_index=True)
         raw, out = buf.tobytes(), []
         for i in at.tolist():
@@ -132,10 +148,11 @@ def _leaves(batches):
         yield batch_of(out)
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_places: int = MIN_PLACES, leaf_lines: int = LEAF_LINES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, keys of all lines, line and pattern of the lines whose template recurs)."""
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_places: int = MIN_PLACES, leaf_lines: int = LEAF_LINES) -> tuple[DataFrame, DataFrame]:
+    """(lines with their template and place, those of recurring templates among others; line,
+    template and pattern of the lines whose template recurs)."""
     texts = texts_of(docs, id_col, text_col)
-    keys = written(texts.mapInArrow(_keys, "doc_id long, mark long, number long, leaf long, deeper long, line long, around long"))
+    keys = written(texts.mapInArrow(_keys, ", ".join(f"{c} long" for c in KEYS)))
 
     # a leaf with few different surroundings has no template with more of them
     places = keys.groupBy("leaf", "around").agg(F.lit(1)).groupBy("leaf").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= min_places)
@@ -152,14 +169,31 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaves = tokens.hint("merge").join(sized, "line").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
     templates = written(leaves.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_leaves, "line long, template long, pattern binary"))
 
-    found = keys.join(templates.select("line", "template"), "line")
-    around = found.groupBy("template", "around").agg(F.lit(1)).groupBy("template").agg(F.count(F.lit(1)).alias("places"))
-    own = found.groupBy("template", "doc_id", "mark").agg(F.lit(1)).groupBy("template").agg(F.count(F.lit(1)).alias("texts"))
     # a template with more variable than fixed tokens names nothing
     parts = F.split(F.decode("pattern", "UTF-8"), " ")
     fixed = templates.where(2 * F.size(F.filter(parts, lambda t: t != WILD.decode())) >= F.size(parts))
-    again = around.where(F.col("places") >= min_places).join(own.where(F.col("texts") >= min_places), "template").where(2 * F.col("places") >= F.col("texts")).select("template")
-    return texts, keys, written(fixed.join(again, "template").select("line", "pattern"))
+    found = written(keys.join(fixed.select("line", "template"), "line").drop("leaf", "deeper"))
+    again = _recurring(found, min_places)
+    return found, fixed.join(again, "template").select("line", "template", "pattern")
+
+
+def _recurring(found: DataFrame, min_places: int) -> DataFrame:
+    """Templates that recur, of the occurrences of all."""
+
+    def counted(rows: DataFrame, what: str) -> DataFrame:
+        return rows.groupBy("template").agg(F.count(F.lit(1)).alias(what)).where(F.col(what) >= min_places)
+
+    around = counted(found.select("template", "around").distinct(), "places")
+    own = counted(found.select("template", "doc_id", "total").distinct(), "rows")
+    held = found.select("template", "total").distinct()
+    texts = counted(held, "texts")
+    often = around.join(own, "template").where(2 * F.col("places") >= F.col("rows")).select("template")
+    # what a text has beside lines that many texts have, for texts that are mostly that
+    common = found.select("template", "total", "size", "whole", "n").join(texts.select("template"), "template")
+    part = common.select("total", "size", "whole", "n").distinct().groupBy("total", "size").agg(F.bit_xor("whole").alias("shared"), F.sum("n").alias("n"))
+    rest = part.where(2 * F.col("n") <= F.col("size")).select("total", F.col("total").bitwiseXOR(F.col("shared")).alias("rest"))
+    apart = counted(common.select("template", "total").distinct().join(rest, "total").select("template", "rest").distinct(), "places")
+    return often.union(apart.select("template")).distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_places: int = MIN_PLACES, leaf_lines: int = LEAF_LINES) -> DataFrame:
@@ -168,18 +202,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The tree's levels are a line's number of tokens and its leading tokens, tokens with a digit
     being variable; a leaf's lines are clustered into templates, in which what differs becomes
-    variable as well. A template recurs if at least min_places texts have it, in at least
-    min_places different surroundings (lines before and after) and in at least half as many
-    surroundings as texts: lines of copied documents come with their neighbours, so whole
-    copies don't lose their lines here. At least half of a template's tokens are fixed. A leaf with more than leaf_lines distinct lines is
+    variable as well. A template recurs if at least min_places texts have it and either
+    at least min_places texts with different rests do that consist of their rest by half or
+    more, a rest being the lines whose templates fewer than min_places texts have; or it has
+    min_places different surroundings (lines before and after) and half as many surroundings
+    as texts. So copies neither add to a line nor protect it from what else has it, and near
+    copies, whose rest is small, keep their lines for near-dedup. At least half of a template's tokens are fixed. A leaf with more than leaf_lines distinct lines is
     divided by further leading tokens. Equal lines are known by a 64-bit hash.
 
     Lines end at line feeds; blank lines stay. Null texts stay null with no lines; empty texts
     have one line; ids may be null or repeated; an empty table gives no rows; columns of docs
     named n_lines or n_dropped are replaced, others are carried on.
     """
-    texts, keys, lines = recurring_lines(docs, id_col, text_col, min_places, leaf_lines)
-    gone = keys.join(lines.select("line"), "line").groupBy("doc_id", "mark").agg(F.collect_list("number").alias("numbers"))
+    found, lines = recurring_lines(docs, id_col, text_col, min_places, leaf_lines)
+    gone = found.join(lines.select("line"), "line").groupBy("doc_id", "mark").agg(F.collect_list("number").alias("numbers"))
     carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("mark"), F.struct(*carried).alias("row"))
     rows = F.split(F.col("row")[text_col], "\n", -1)

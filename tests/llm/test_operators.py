@@ -219,6 +219,17 @@ def test_line_templates(spark):
     assert linetemplate.line_dedup(empty(spark)).count() == 0
 
 
+def test_copies_keep_no_line_that_recurs_elsewhere(spark):
+    rows = [(i, f"own before {'x' * i}\nread our terms of use\nown after {'y' * i}") for i in range(6)]
+    copies = [(50 + i, "some line here\nread our terms of use\nanother line there") for i in range(40)]
+    out = {r.doc_id: r for r in linetemplate.line_dedup(frame(spark, [*rows, *copies])).collect()}
+    assert all("read our terms of use" not in r.text for r in out.values())
+    assert all(out[i].text == "some line here\nanother line there" for i, _ in copies)
+    base = [f"line {'abcdefghij'[k]} of an article with some words" for k in range(10)]
+    near = [(i, "\n".join([*base[: i % 10], base[i % 10] + " more" * (1 + i), *base[i % 10 + 1 :]])) for i in range(60)]
+    assert {r.n_dropped for r in linetemplate.line_dedup(frame(spark, near)).collect()} == {0}
+
+
 def test_cluster():
     lines = [(1, b"open file a now"), (2, b"open file b now"), (3, b"close all the things")]
     assert sorted(linetemplate.cluster(lines)) == [(1, 1, b"open file <*> now"), (2, 1, b"open file <*> now"), (3, 3, b"close all the things")]
