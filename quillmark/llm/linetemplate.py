@@ -154,8 +154,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts_of(docs, id_col, text_col)
     keys = written(texts.mapInArrow(_keys, ", ".join(f"{c} long" for c in KEYS)))
 
-    # a leaf with few different surroundings has no template with more of them
-    places = keys.groupBy("leaf", "around").agg(F.lit(1)).groupBy("leaf").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= min_places)
+    # a leaf with few different surroundings and texts has no template with more of them
+    places = keys.groupBy("leaf", "around", "total").agg(F.lit(1)).groupBy("leaf").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= min_places)
     lines = keys.groupBy("leaf", "deeper", "line").agg(F.lit(1)).join(places.select("leaf"), "leaf").select("leaf", "deeper", "line")
     lines = written(lines)
     of_leaf = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_leaf"))

@@ -230,6 +230,13 @@ def test_copies_keep_no_line_that_recurs_elsewhere(spark):
     assert {r.n_dropped for r in linetemplate.line_dedup(frame(spark, near)).collect()} == {0}
 
 
+def test_inner_lines_of_a_block_go(spark):
+    block = "this text is free\nfor all uses\nwithout any warranty\nas stated above"
+    rows = [(i, f"{block}\nown line {'x' * (i + 1)} that nobody else has {'y ' * (12 + i)}") for i in range(8)]
+    out = linetemplate.line_dedup(frame(spark, rows)).collect()
+    assert {r.text for r in out} == {t.split("\n")[-1] for _, t in rows} and {r.n_dropped for r in out} == {4}
+
+
 def test_cluster():
     lines = [(1, b"open file a now"), (2, b"open file b now"), (3, b"close all the things")]
     assert sorted(linetemplate.cluster(lines)) == [(1, 1, b"open file <*> now"), (2, 1, b"open file <*> now"), (3, 3, b"close all the things")]
