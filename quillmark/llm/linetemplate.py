@@ -42,14 +42,14 @@ def parse(buf: np.ndarray, bounds: np.ndarray):
     """(text, line number in it, leaf, deeper leaf, line, surroundings, content, token starts,
     token ends, first token, tokens, wild flags) of the lines that have a token.
 
-    Tokens with a digit are variable fields and hash alike. A line's surroundings are the
+    Tokens with a digit are variable fields and hash alike; a line that is mostly such tokens
+    has no variable fields and is a leaf of its own. A line's surroundings are the
     lines with tokens before and after it in its text."""
     start, end, first = scan.words(buf, bounds, scan.NOT_SPACE)
     hashes = scan.span_hashes(buf, start, end)
     exact = hashes.copy()
     digits = np.concatenate(([0], np.cumsum(_DIGIT[buf], dtype=np.int64)))
     wild = digits[end] > digits[start]
-    hashes[wild] = _WILD_HASH
     breaks = np.concatenate(([0], np.cumsum(buf == 10, dtype=np.int64)))
     text = np.searchsorted(first, np.arange(len(start)), side="right") - 1
     number = breaks[start] - breaks[bounds[text]]
@@ -57,6 +57,10 @@ def parse(buf: np.ndarray, bounds: np.ndarray):
     new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(start)))
+    varying = np.concatenate(([0], np.cumsum(wild, dtype=np.int64)))
+    mostly = 2 * (varying[head + count] - varying[head]) > count
+    wild &= ~np.repeat(mostly, count)
+    hashes[wild] = _WILD_HASH
     line = _fold(hashes, head, count)
     own = text[head]
     before, after = np.full(len(head), _START), np.full(len(head), _END)
@@ -64,7 +68,8 @@ def parse(buf: np.ndarray, bounds: np.ndarray):
     before[1:][same] = whole[:-1][same]
     after[:-1][same] = whole[1:][same]
     around = scan.mix(before * np.uint64(3) + scan.mix(after))
-    return own, number[head], _fold(hashes, head, count, DEPTH), _fold(hashes, head, count, DEEPER), line, around, whole, start, end, head, count, wild
+    leaf, deeper = (np.where(mostly, line, _fold(hashes, head, count, n)) for n in (DEPTH, DEEPER))
+    return own, number[head], leaf, deeper, line, around, whole, start, end, head, count, wild
 
 
 def _contents(text: np.ndarray, whole: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +154,8 @@ def _leaves(batches):
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_places: int = MIN_PLACES, leaf_lines: int = LEAF_LINES) -> tuple[DataFrame, DataFrame]:
-    """(lines with their template and place, those of recurring templates among others; line,
-    template and pattern of the lines whose template recurs)."""
+    """(lines with their template and place, those of recurring templates among others;
+    templates that recur)."""
     texts = texts_of(docs, id_col, text_col)
     keys = written(texts.mapInArrow(_keys, ", ".join(f"{c} long" for c in KEYS)))
 
@@ -169,12 +174,12 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaves = tokens.hint("merge").join(sized, "line").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
     templates = written(leaves.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_leaves, "line long, template long, pattern binary"))
 
-    # a template with more variable than fixed tokens names nothing
+    # a template with more variable than fixed tokens names nothing: its lines stand for themselves
     parts = F.split(F.decode("pattern", "UTF-8"), " ")
-    fixed = templates.where(2 * F.size(F.filter(parts, lambda t: t != WILD.decode())) >= F.size(parts))
-    found = written(keys.join(fixed.select("line", "template"), "line").drop("leaf", "deeper"))
-    again = _recurring(found, min_places)
-    return found, fixed.join(again, "template").select("line", "template", "pattern")
+    fixed = 2 * F.size(F.filter(parts, lambda t: t != WILD.decode())) >= F.size(parts)
+    templates = templates.select("line", F.when(fixed, F.col("template")).otherwise(F.col("line")).alias("template"))
+    found = written(keys.join(templates, "line").drop("leaf", "deeper"))
+    return found, _recurring(found, min_places)
 
 
 def _recurring(found: DataFrame, min_places: int) -> DataFrame:
@@ -207,15 +212,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more, a rest being the lines whose templates fewer than min_places texts have; or it has
     min_places different surroundings (lines before and after) and half as many surroundings
     as texts. So copies neither add to a line nor protect it from what else has it, and near
-    copies, whose rest is small, keep their lines for near-dedup. At least half of a template's tokens are fixed. A leaf with more than leaf_lines distinct lines is
+    copies, whose rest is small, keep their lines for near-dedup. At least half of a
+    template's tokens are fixed; other lines are held exactly. A leaf with more than leaf_lines distinct lines is
     divided by further leading tokens. Equal lines are known by a 64-bit hash.
 
     Lines end at line feeds; blank lines stay. Null texts stay null with no lines; empty texts
     have one line; ids may be null or repeated; an empty table gives no rows; columns of docs
     named n_lines or n_dropped are replaced, others are carried on.
     """
-    found, lines = recurring_lines(docs, id_col, text_col, min_places, leaf_lines)
-    gone = found.join(lines.select("line"), "line").groupBy("doc_id", "mark").agg(F.collect_list("number").alias("numbers"))
+    found, again = recurring_lines(docs, id_col, text_col, min_places, leaf_lines)
+    gone = found.join(again, "template").groupBy("doc_id", "mark").agg(F.collect_list("number").alias("numbers"))
     carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("mark"), F.struct(*carried).alias("row"))
     rows = F.split(F.col("row")[text_col], "\n", -1)

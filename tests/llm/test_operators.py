@@ -237,6 +237,12 @@ def test_inner_lines_of_a_block_go(spark):
     assert {r.text for r in out} == {t.split("\n")[-1] for _, t in rows} and {r.n_dropped for r in out} == {4}
 
 
+def test_equal_lines_of_digits_go(spark):
+    rows = [(i, f"own before {'x' * (i + 1)} of this\nTel 030 5550 Fax 030 5551\n{i} {i * 7} {i * 9} at\n{'y' * (i + 1)} and own after") for i in range(6)]
+    out = {r.doc_id: r.text for r in linetemplate.line_dedup(frame(spark, rows)).collect()}
+    assert all(out[i] == "\n".join(t.split("\n")[k] for k in (0, 2, 3)) for i, t in rows)
+
+
 def test_cluster():
     lines = [(1, b"open file a now"), (2, b"open file b now"), (3, b"close all the things")]
     assert sorted(linetemplate.cluster(lines)) == [(1, 1, b"open file <*> now"), (2, 1, b"open file <*> now"), (3, 3, b"close all the things")]
