@@ -13,11 +13,11 @@ from quillmark.llm import scan
 from quillmark.llm.anchored import NO_ID, texts_of
 from quillmark.llm.storage import written
 
-#: Leading tokens of the tree's inner levels; the deeper level is for leaves with too many lines.
-DEPTH, DEEPER = 3, 10
+#: Leading tokens of the tree's inner levels.
+DEPTH = 3
 #: Share of equal tokens from which a line joins a template.
 SIMILAR = 0.7
-#: Most distinct lines of a leaf that are clustered together.
+#: Distinct lines of a leaf from which it is first clustered in parts.
 LEAF_LINES = 2000
 MIN_PLACES = 5
 WILD = b"<*>"
@@ -39,7 +39,7 @@ def _fold(values: np.ndarray, start: np.ndarray, count: np.ndarray, limit: int |
 
 
 def parse(buf: np.ndarray, bounds: np.ndarray):
-    """(text, line number in it, leaf, deeper leaf, line, surroundings, content, token starts,
+    """(text, line number in it, leaf, line, surroundings, content, token starts,
     token ends, first token, tokens, wild flags) of the lines that have a token.
 
     Tokens with a digit are variable fields and hash alike; a line that is mostly such tokens
@@ -68,8 +68,8 @@ def parse(buf: np.ndarray, bounds: np.ndarray):
     before[1:][same] = whole[:-1][same]
     after[:-1][same] = whole[1:][same]
     around = scan.mix(before * np.uint64(3) + scan.mix(after))
-    leaf, deeper = (np.where(mostly, line, _fold(hashes, head, count, n)) for n in (DEPTH, DEEPER))
-    return own, number[head], leaf, deeper, line, around, whole, start, end, head, count, wild
+    leaf = np.where(mostly, line, _fold(hashes, head, count, DEPTH))
+    return own, number[head], leaf, line, around, whole, start, end, head, count, wild
 
 
 def _contents(text: np.ndarray, whole: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,22 +84,22 @@ def _contents(text: np.ndarray, whole: np.ndarray, count: np.ndarray, texts: int
     return total, size
 
 
-KEYS = ["doc_id", "mark", "number", "leaf", "deeper", "line", "around", "whole", "n", "total", "size"]
+KEYS = ["doc_id", "mark", "number", "leaf", "line", "around", "whole", "n", "total", "size"]
 
 
 def _keys(batches):
     for batch, buf, bounds in scan.pieces(batches, "text"):
-        text, number, leaf, deeper, line, around, whole, _, _, _, count, _ = parse(buf, bounds)
+        text, number, leaf, line, around, whole, _, _, _, count, _ = parse(buf, bounds)
         total, size = _contents(text, whole, count, batch.num_rows)
         doc, mark = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "mark"))
-        columns = [doc, mark, number, leaf.view(np.int64), deeper.view(np.int64), line.view(np.int64), around.view(np.int64), whole.view(np.int64), count, total.view(np.int64)[text], size[text]]
+        columns = [doc, mark, number, leaf.view(np.int64), line.view(np.int64), around.view(np.int64), whole.view(np.int64), count, total.view(np.int64)[text], size[text]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], KEYS)
 
 
 def _tokens(batches):
     """Each distinct line of a slice with its tokens, variable fields as WILD."""
     for _, buf, bounds in scan.pieces(batches, "text"):
-        _, _, _, _, line, _, _, start, end, head, count, wild = parse(buf, bounds)
+        _, _, _, line, _, _, start, end, head, count, wild = parse(buf, bounds)
         names, at = np.unique(line, return_index=True)
         raw, out = buf.tobytes(), []
         for i in at.tolist():
@@ -112,47 +112,72 @@ def cluster(lines: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
     """(line, template's first line, template) of a leaf's lines, which have equally many
     tokens. Lines come in the order of their tokens; each joins the template it shares most
     tokens with, the earliest of equals, if that is at least SIMILAR of them, and what differs
-    there becomes variable."""
+    there becomes variable.
+
+    The places at which lines differ are cut into one range more than a line may differ in, so
+    a line and its template agree on a range: templates are looked up by those."""
+    if not lines:
+        return
+    rows = sorted(((t.split(b" "), t, line) for line, t in lines), key=lambda x: x[1:])
+    count = len(rows[0][0])
+    free = [i for i in range(count) if any(r[0][i] != rows[0][0][i] for r in rows)]
+    differ = sum(k < SIMILAR * count for k in range(count + 1))  # how many counts of equal tokens are too few
+    ranges = count - differ + 1
+    cuts = [free[len(free) * k // ranges : len(free) * (k + 1) // ranges] for k in range(ranges)] if len(free) >= ranges else [[]]
     templates: list[tuple[int, list]] = []
+    known: dict[tuple, dict[int, None]] = {}
     joined = []
-    for line, tokens in sorted(lines, key=lambda x: (x[1], x[0])):
-        words, best, most = tokens.split(b" "), None, 0
-        for k, (_, pattern) in enumerate(templates):
-            same = sum(map(bytes.__eq__, words, pattern))
+    for words, _, line in rows:
+        keys = [(k, *(words[i] for i in cut)) for k, cut in enumerate(cuts)]
+        best, most = None, 0
+        for k in sorted({k for key in keys for k in known.get(key, ())}):
+            same = sum(map(bytes.__eq__, words, templates[k][1]))
             if same > most:
                 best, most = k, same
-        if best is None or most < SIMILAR * len(words):
+        if best is None or most < SIMILAR * count:
             best = len(templates)
             templates.append((line, words))
         else:
             pattern = templates[best][1]
             pattern[:] = [p if p == w else WILD for p, w in zip(pattern, words, strict=True)]
+            keys = [(k, *(pattern[i] for i in cut)) for k, cut in enumerate(cuts)]
+        for key in keys:
+            known.setdefault(key, {})[best] = None
         joined.append((line, best))
     for line, k in joined:
         yield line, templates[k][0], b" ".join(templates[k][1])
 
 
+_CLUSTERED = "leaf long, line long, template long, pattern binary, parts long"
+
+
 def _leaves(batches):
-    """Arrow function: distinct lines, those of a leaf one after the other, to their templates."""
+    """Arrow function: distinct lines, those of a part of a leaf one after the other, to their
+    templates."""
     now, group, out = None, [], []
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["line", "template", "pattern"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 3, pa.binary(), pa.int64()), strict=True)], ["leaf", "line", "template", "pattern", "parts"])
 
     for batch in batches:
-        for leaf, line, tokens in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("leaf", "line", "tokens")), strict=True):
-            if leaf != now:
-                out += cluster(group)
-                now, group = leaf, []
+        for *key, line, tokens in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("leaf", "part", "parts", "line", "tokens")), strict=True):
+            if key != now:
+                out += ((now[0], *x, now[2]) for x in cluster(group))
+                now, group = key, []
             group.append((line, tokens))
         if len(out) > 10_000:
             yield batch_of(out)
             out = []
-    out += cluster(group)
+    out += ((now[0], *x, now[2]) for x in cluster(group))
     if out:
         yield batch_of(out)
 
 
+def _clustered(lines: DataFrame) -> DataFrame:
+    """Templates of (leaf, part, parts, line, tokens), each part by itself."""
+    return written(lines.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(_leaves, _CLUSTERED))
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_places: int = MIN_PLACES, leaf_lines: int = LEAF_LINES) -> tuple[DataFrame, DataFrame]:
     """(lines with their template and place, those of recurring templates among others;
     templates that recur)."""
@@ -161,24 +186,24 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # a leaf with few different surroundings and texts has no template with more of them
     places = keys.groupBy("leaf", "around", "total").agg(F.lit(1)).groupBy("leaf").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") >= min_places)
-    lines = keys.groupBy("leaf", "deeper", "line").agg(F.lit(1)).join(places.select("leaf"), "leaf").select("leaf", "deeper", "line")
-    lines = written(lines)
-    of_leaf = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_leaf"))
-    of_deeper = lines.groupBy("leaf", "deeper").agg(F.count(F.lit(1)).alias("n_deeper"))
-    sized = lines.join(of_leaf, "leaf").join(of_deeper, ["leaf", "deeper"])
-    # too many lines: more leading tokens, in the end all of them
-    place = F.when(F.col("n_leaf") <= leaf_lines, F.col("leaf")).when(F.col("n_deeper") <= leaf_lines, F.col("deeper")).otherwise(F.col("line"))
-    sized = sized.select("line", place.alias("leaf"))
+    lines = written(keys.groupBy("leaf", "line").agg(F.lit(1)).join(places.select("leaf"), "leaf").select("leaf", "line"))
+    parts = lines.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).alias("parts"))
+    sized = lines.join(parts, "leaf").withColumn("part", F.pmod("line", "parts"))
     tokens = texts.mapInArrow(_tokens, "line long, tokens binary")
     # texts are dealt out at every size alike, rather than the other side broadcast while it is small
-    leaves = tokens.hint("merge").join(sized, "line").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
-    templates = written(leaves.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_leaves, "line long, template long, pattern binary"))
+    leaves = tokens.hint("merge").join(sized, "line").groupBy("leaf", "part", "parts", "line").agg(F.min("tokens").alias("tokens"))
+    first = _clustered(leaves)
+    # the templates of a leaf's parts are lines that are clustered again, all of the leaf
+    found = first.where("parts > 1").groupBy("leaf", F.col("template").alias("line")).agg(F.min("pattern").alias("tokens"))
+    second = _clustered(found.select("leaf", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), "line", "tokens"))
+    merged = first.where("parts > 1").select("line", F.col("template").alias("first")).join(second.select(F.col("line").alias("first"), "template", "pattern"), "first")
+    templates = first.where("parts = 1").select("line", "template", "pattern").union(merged.select("line", "template", "pattern"))
 
     # a template with more variable than fixed tokens names nothing: its lines stand for themselves
-    parts = F.split(F.decode("pattern", "UTF-8"), " ")
-    fixed = 2 * F.size(F.filter(parts, lambda t: t != WILD.decode())) >= F.size(parts)
+    words = F.split(F.decode("pattern", "UTF-8"), " ")
+    fixed = 2 * F.size(F.filter(words, lambda t: t != WILD.decode())) >= F.size(words)
     templates = templates.select("line", F.when(fixed, F.col("template")).otherwise(F.col("line")).alias("template"))
-    found = written(keys.join(templates, "line").drop("leaf", "deeper"))
+    found = written(keys.join(templates, "line").drop("leaf"))
     return found, _recurring(found, min_places)
 
 
@@ -213,8 +238,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     min_places different surroundings (lines before and after) and half as many surroundings
     as texts. So copies neither add to a line nor protect it from what else has it, and near
     copies, whose rest is small, keep their lines for near-dedup. At least half of a
-    template's tokens are fixed; other lines are held exactly. A leaf with more than leaf_lines distinct lines is
-    divided by further leading tokens. Equal lines are known by a 64-bit hash.
+    template's tokens are fixed; other lines are held exactly. A leaf
+    with more than leaf_lines distinct lines is clustered in parts and then the parts' templates. Equal lines are known by a 64-bit hash.
 
     Lines end at line feeds; blank lines stay. Null texts stay null with no lines; empty texts
     have one line; ids may be null or repeated; an empty table gives no rows; columns of docs

@@ -243,6 +243,30 @@ def test_equal_lines_of_digits_go(spark):
     assert all(out[i] == "\n".join(t.split("\n")[k] for k in (0, 2, 3)) for i, t in rows)
 
 
+def test_a_leaf_in_parts_gives_the_templates_of_the_whole(spark):
+    rows = [(i, f"{'x' * (i + 1)} only here\nConnection to host {chr(97 + i)} was closed\n{'y' * (i + 1)} and there") for i in range(12)]
+    for limit in (1, 3, 2000):
+        out = linetemplate.line_dedup(frame(spark, rows), leaf_lines=limit).collect()
+        assert {r.n_dropped for r in out} == {1} and not any("Connection" in r.text for r in out)
+
+
+def test_cluster_looks_up_what_a_search_of_all_finds():
+    rng = __import__("random").Random(5)
+    for size in (3, 4, 7, 12):
+        lines = [(i, b" ".join(rng.choice((b"a", b"b", b"c")) for _ in range(size))) for i in range(200)]
+        templates, want = [], []
+        for line, words in sorted(((i, t.split(b" ")) for i, t in lines), key=lambda x: (b" ".join(x[1]), x[0])):
+            same = [sum(map(bytes.__eq__, words, p)) for _, p in templates]
+            if not same or max(same) < linetemplate.SIMILAR * size:
+                templates.append((line, words))
+                want.append((line, len(templates) - 1))
+            else:
+                k = same.index(max(same))
+                templates[k][1][:] = [p if p == w else linetemplate.WILD for p, w in zip(templates[k][1], words)]
+                want.append((line, k))
+        assert list(linetemplate.cluster(lines)) == [(line, templates[k][0], b" ".join(templates[k][1])) for line, k in want]
+
+
 def test_cluster():
     lines = [(1, b"open file a now"), (2, b"open file b now"), (3, b"close all the things")]
     assert sorted(linetemplate.cluster(lines)) == [(1, 1, b"open file <*> now"), (2, 1, b"open file <*> now"), (3, 3, b"close all the things")]
