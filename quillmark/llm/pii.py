@@ -164,7 +164,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     """
     text = F.col(text_col).cast("string")
     matches, gaps = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), F.split(text, _ANY, -1)
-    maybe = text.rlike(r"\d{2}|@")
+    maybe = text.rlike(r"\d[ .-]?\d|@")  # every kind has one
     made = F.expr(f"transform(_matches, m -> named_struct('kind', {_kind('m')}, 'value', m, 'pseudonym', {_inner(key)}))")
     out = docs.withColumn("_matches", F.when(maybe, matches).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("_made", made)

@@ -168,6 +168,13 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(empty(spark)).count() == 0
 
 
+def test_values_without_adjacent_digits_are_found(spark):
+    texts = ["ask 8.8.8.8 first", "10 times 8.8.8.8", "4-2-0-7-0-5-1-2-7-9-1-0-8-0-8-4", "a@b.example.com"]
+    out = {r.doc_id: r for r in pii.pseudonymise(frame(spark, list(enumerate(texts))), key="k").collect()}
+    assert [[x.kind for x in out[i].found] for i in range(4)] == [["ip"], ["ip"], ["card"], ["email"]]
+    assert out[0].found[0].pseudonym == out[1].found[0].pseudonym and "8.8.8.8" not in out[0].text
+
+
 def test_permutation_of_a_small_format(spark):
     """All days of a century get all days of that century."""
     days = spark.sql("select explode(sequence(date'1900-01-01', date'1999-12-31')) d").selectExpr("date_format(d, 'yyyy-MM-dd') m")
