@@ -119,6 +119,17 @@ def _card(m: str, key: str) -> str:
     return _with(_digits(m), "n", f"if({_luhn('n', 0)} % 10 = 0, {_with(pair, 'x', whole)}, {m})")
 
 
+def _is_card(m: str) -> str:
+    return _with(_digits(m), "n", f"{_luhn('n', 0)} % 10 = 0")
+
+
+def _is_date(m: str) -> str:
+    """Whether `_date` takes it for a date, in one order or the other."""
+    year = f"if({m} rlike '^[0-9]{{4}}', substring({m}, 1, 4), substring({m}, 7, 4))"
+    day_first, month_first = (f"try_to_date(concat_ws('-', substring({m}, 7, 4), substring({m}, {a}, 2), substring({m}, {b}, 2)), 'yyyy-MM-dd')" for a, b in ((4, 1), (1, 4)))
+    return f"({year} >= '0100' and case when {m} rlike '-' then try_to_date({m}, 'yyyy-MM-dd') else coalesce({day_first}, {month_first}) end is not null)"
+
+
 def _date(m: str, key: str) -> str:
     """A day of the same century. Day-month-year is read first, month-day-year where that is
     no date; the order stays. What is no date in either order stays."""
@@ -170,7 +181,8 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     out = out.withColumn("_made", made)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.col("_made.pseudonym"), lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "")
     new = F.when(F.size("_made") > 0, joined).otherwise(text)
-    found = F.filter("_made", lambda x: (x["value"] != x["pseudonym"]) | ~x["kind"].isin("card", "date"))
+    # a value may be its own pseudonym, so what stays the same is validated once more
+    found = F.expr(f"filter(_made, x -> x.value != x.pseudonym or case x.kind when 'card' then {_is_card('x.value')} when 'date' then {_is_date('x.value')} else true end)")
     return out.withColumns({text_col: new, "found": F.coalesce(found, F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>"))}).drop("_matches", "_made")
 
 

@@ -182,6 +182,18 @@ def test_permutation_of_a_small_format(spark):
     assert len(set(got)) == len(got) == 36524 and min(got) == "1900-01-01" and max(got) == "1999-12-31"
 
 
+def test_values_that_are_their_own_pseudonym_are_found(spark):
+    days = spark.sql("select explode(sequence(date'1900-01-01', date'1999-12-31')) d").selectExpr("date_format(d, 'yyyy-MM-dd') m").cache()
+    for k in "abcdefgh":
+        same = [r.m for r in days.where(pii.pseudonym("m", k) == days["m"]).collect()]
+        if same:
+            break
+    rows = [*enumerate(same), (90, "1999-02-30 30/02/1999 4207051279108085")]
+    out = {r.doc_id: r.found for r in pii.pseudonymise(frame(spark, rows), key=k).collect()}
+    assert same and all(out[i][0].value == out[i][0].pseudonym == d for i, d in enumerate(same)) and out[90] == []
+    days.unpersist()
+
+
 def test_gradient_and_likelihood():
     rng = np.random.default_rng(0)
     context, target = rng.integers(0, lm.VOCAB, (40, 4)), rng.integers(0, lm.VOCAB - 1, 40)
