@@ -319,11 +319,42 @@ def test_toxicity(spark):
 
 
 def test_windows_cover_every_word():
-    text = ("word " * 20 + "y" * 1000 + " Tail").encode()
-    buf = np.frombuffer(text, np.uint8)
-    texts, at = toxicity.windows(buf, np.array([0, len(buf)]))
-    assert at.tolist() == [0, len(texts)] and texts[0] == b" ".join([b"word"] * toxicity.WINDOW_WORDS) and texts[-1].endswith(b"tail")
-    assert max(map(len, texts)) <= toxicity.WINDOW_BYTES
+    texts = [("word, " * 20 + "y" * 1000 + " Tail!").encode(), b"", b"...", b"One"]
+    buf, bounds = toxicity._joined(texts)
+    w = toxicity.windows(buf, bounds)
+    got = [[w[i] for i in range(w.at[k], w.at[k + 1])] for k in range(len(texts))]
+    assert got[0][0] == b" " + b"word " * toxicity.WINDOW_WORDS and got[0][-1].endswith(b"y tail ") and got[1:] == [[], [], [b" one "]]
+    assert int(w.size.max()) <= toxicity.WINDOW_BYTES
+    covered = np.zeros(len(w.raw), bool)
+    for a, n in zip(w.start, w.size, strict=True):
+        covered[a : a + n] = True
+    assert covered.all()
+
+
+def test_windows_with_sequences_of_other_places_are_marked():
+    buf, bounds = toxicity._joined([b"a b c d e f g h i j k l", b"x y z u v w c d e p q r", b"a b"])
+    w = toxicity.windows(buf, bounds, with_once=True)
+    assert w.once.tolist() == [False, True, True, False, True]
+
+
+def test_copies_of_the_sample_are_left_out():
+    texts = [passage(__import__("random").Random(k), 30).encode() for k in range(3)]
+    sample = [(texts[0], 1), (texts[1], 0), (texts[0] + b" more", 0), (b"", 0), (texts[2] + b" " + b" ".join(texts[1].split()[:9]), 1)]
+    assert toxicity._without_copies(sample) == [sample[k] for k in (0, 1, 3, 4)]
+
+
+def test_dictionaries_are_trained_apart_and_lengths_decide():
+    rng = __import__("random").Random(4)
+    sample = [(t.encode(), b) for _, t, b in toxic_rows(rng, 400)]
+    model = toxicity.fit(sample, {0: 1.0, 1: 1.0})
+    assert model.fitted and b"scoundrels" in model.toxic and b"scoundrels" not in model.ordinary
+    buf, bounds = toxicity._joined([b"Alpha1, despicable! gamma,3", b"alpha1 delta20 gamma,3"])
+    w = toxicity.windows(buf, bounds)
+    pair = toxicity.Pair(model.ordinary, model.toxic)
+    lengths = [[len(c.compress(w[i])) for i in range(2)] for c in pair.by]
+    assert pair.gains(w).tolist() == [lengths[0][i] - lengths[1][i] for i in range(2)]
+    assert pair.gains(w)[0] >= 3 > pair.gains(w)[1]
+    assert pair.carriers(w, np.array([0])) == [b" despicable "]
 
 
 def test_scan_kernels():
