@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import scan
 from quillmark.llm.components import connected_components
-from quillmark.llm.storage import written
+from quillmark.llm.storage import discard, written
 
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 5, 2
 #: Standard deviations below the threshold at which an estimate rules a pair out.
@@ -107,35 +107,35 @@ def lowest(threshold: float) -> float:
     return threshold - SLACK * math.sqrt(agree * (1 - agree) / (BANDS * ROWS)) / (1 - chance)
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """id, text of the representatives among ids."""
-    return texts.join(marks.join(ids, "id", "left_semi"), ["id", "mark"], "left_semi").select("id", "text")
+def _texts_of(nodes: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """node, text of the classes among nodes, each by its representative row (one of equal ones)."""
+    return texts.join(marks.join(nodes, "node", "left_semi"), ["id", "mark"]).select("node", "text").dropDuplicates(["node"])
 
 
 def _shingles(size: int):
-    """Arrow function: id, text to id, shingle."""
+    """Arrow function: node, text to node, shingle."""
 
     def run(batches):
         for batch in scan.slices(batches, "text"):
             sets = [shingle_set(np.frombuffer(t.as_buffer(), np.uint8), size) for t in batch.column(1)]
-            n = np.array([len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+            at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
 
     return run
 
 
-def _alone(ids: DataFrame, texts: DataFrame, marks: DataFrame, size: int) -> DataFrame:
-    """rep, alone: how many shingles of each of the ids none of the others has."""
-    found = _texts_of(ids, texts, marks).mapInArrow(_shingles(size), "id long, shingle long")
-    single = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n = 1")
-    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+def _alone(nodes: DataFrame, texts: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """node, alone: how many shingles of each of the nodes none of the others has."""
+    found = _texts_of(nodes, texts, marks).mapInArrow(_shingles(size), "node binary, shingle long")
+    single = found.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    return single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs a, b whose full shingle sets meet the threshold."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     own = _texts_of(needed, texts, marks)
-    full = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    full = pairs.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
         for batch in batches:
@@ -151,7 +151,22 @@ def _confirm(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int,
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(run, "a binary, b binary")
+
+
+def _plausible(member: DataFrame, percent: int) -> DataFrame:
+    """Members that some other class of their bucket can be linked with, by size alone.
+
+    Of a class with `most` shingles that others have too and `own` that none has, at most `most`
+    are shared with a class that has at least the bucket's smallest `own` (the second smallest,
+    for the class that has it), and the union has both classes' own ones besides."""
+    member = member.withColumn("own", F.col("size") - F.col("most"))
+    # two partial minima a bucket, so a hot bucket is combined before it travels
+    least = member.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("x"))
+    other = member.join(least, "bucket").where(F.col("node") != F.col("x.node")).groupBy("bucket").agg(F.min("own").alias("second"))
+    near = F.when(F.col("node") == F.col("x.node"), F.col("second")).otherwise(F.col("x.own"))
+    kept = member.join(least.join(other, "bucket"), "bucket").where(100 * F.col("most") >= percent * (F.col("most") + F.col("own") + near))
+    return kept.drop("own", "x", "second")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = SHINGLE) -> DataFrame:
@@ -162,62 +177,67 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        shingle sets become one class, known by a 128-bit digest, before anything is paired.
     2. Every class is compared with one pivot of each of its band buckets (the class that
        shares most bucket places), which is linear in the number of classes.
-    3. What that leaves apart is compared with all of its buckets: two classes of a bucket that
-       are not yet connected, unless their corrected bit estimate rules them out, or the number of
-       shingles that no other class of such buckets has does, which is an exact bound. No link
-       is given up, and classes already connected are never paired again.
+    3. In what that leaves apart, classes that can't be linked with any other of their bucket,
+       by the number of shingles that no other class has, are ruled out (an exact bound, linear
+       as well). The others are paired with the classes of their buckets that they are not yet
+       connected with, unless the corrected bit estimate or the same bound rules the pair out.
+       No link is given up, and classes already connected are never paired again.
     Each candidate is confirmed on the full sets. At 0.85 a pair shares no band with a
     probability of 7e-9 (0.80: 3e-6).
 
     Returns doc_id, mark (xxhash64 of the text), n_shingles, component_id (smallest id
-    reachable) and kept (it is that id). Null or empty texts have no shingles and stay by
-    themselves; a null id stays null and kept; rows that repeat an id are judged by their own
-    texts; an empty table gives no rows; other columns are ignored.
+    reachable) and kept (it is that id). Ids are whole numbers or strings of such (others raise
+    CAST_INVALID_INPUT). Null or empty texts have no shingles and stay by themselves; a null id
+    stays null and kept; rows that repeat an id are judged by their own texts; an empty table
+    gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     signed = written(marked.mapInArrow(_rows(size), "doc_id long, mark long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"))
+    # a class is a node by its digest, not by an id, which rows with different texts may share
     classes = written(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "mark")).alias("r"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-        .select("set_hash", F.col("r.doc_id").alias("rep"), F.col("r.mark").alias("mark"), "size", "bands", "bits")
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_hash").alias("node")).agg(F.min(F.struct("doc_id", "mark")).alias("r"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        .select("node", F.col("r.doc_id").alias("rep"), F.col("r.mark").alias("mark"), "size", "bands", "bits")
     )
-    places = classes.select("rep", F.explode("bands").alias("bucket"))
+    places = classes.select("node", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     places = written(places.join(shared, "bucket"))
-    score = places.groupBy("rep").agg(F.sum("n").alias("score"))
-    pivots = places.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("best")).select("bucket", (-F.col("best.rep")).alias("a"))
-    bits = classes.select(F.col("rep").alias("rep"), "bits")
+    score = places.groupBy("node").agg(F.sum("n").alias("score"))
+    pivots = places.join(score, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("score")).alias("score"), "node")).alias("best")).select("bucket", F.col("best.node").alias("a"))
+    bits = classes.select("node", "bits")
     cut = lowest(percent / 100)
 
-    star = places.join(pivots, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    star = places.join(pivots, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
     star = star.join(bits.toDF("b", "bits_b"), "b").join(bits.toDF("a", "bits_a"), "a").where(estimate(F.col("bits_a"), F.col("bits_b")) >= cut).select("a", "b")
-    texts, marks = marked.withColumnRenamed("doc_id", "id"), classes.select(F.col("rep").alias("id"), "mark")
+    texts, marks = marked.withColumnRenamed("doc_id", "id"), classes.select("node", F.col("rep").alias("id"), "mark")
     links = written(_confirm(star, texts, marks, percent, size))
 
-    first = connected_components(links).toDF("rep", "part")
-    member = places.join(first, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
+    first = connected_components(links).toDF("node", "part")
+    member = places.join(first, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part"))
     parts = member.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
-    member = written(member.join(largest, "bucket"))
-    alone = _alone(member.select(F.col("rep").alias("id")).distinct(), texts, marks, size)
-    known = classes.join(alone, "rep", "left").select("rep", "bands", "bits", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
-    member = written(member.join(known, "rep"))
-    own = lambda s: [F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("part", "bands", "bits", "size", "most")]]
+    apart = written(member.join(largest, "bucket"))
+    alone = _alone(apart.select("node").distinct(), texts, marks, size)
+    known = classes.join(alone, "node", "left").select("node", "bands", "bits", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    member = written(_plausible(apart.join(known, "node"), percent))
+    own = lambda s: [F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("part", "bands", "bits", "size", "most")]]
     x = member.where("part != main").select("bucket", *own("a"))
     y = member.select("bucket", *own("b"), (F.col("part") == F.col("main")).alias("is_main"))
     # two sets share at most what either has in common with anyone
     common = F.least("most_a", "most_b")
     possible = 100 * common >= percent * (F.col("size_a") + F.col("size_b") - common)
-    apart = (F.col("part_a") != F.col("part_b")) & (F.col("is_main") | (F.col("a") < F.col("b")))
+    other = (F.col("part_a") != F.col("part_b")) & (F.col("is_main") | (F.col("a") < F.col("b")))
     # of several buckets in common the first one gives the pair
     once = F.array_intersect("bands_a", "bands_b")[0] == F.col("bucket")
-    rest = x.join(y, "bucket").where(apart & possible & (estimate(F.col("bits_a"), F.col("bits_b")) >= cut) & once)
+    rest = x.join(y, "bucket").where(other & possible & (estimate(F.col("bits_a"), F.col("bits_b")) >= cut) & once)
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = links.union(_confirm(rest, texts, marks, percent, size))
 
-    label = connected_components(links).toDF("rep", "component_id")
-    labels = classes.join(label, "rep", "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "mark", "n_shingles", "set_hash").join(labels, "set_hash", "left")
+    label = connected_components(links.union(_confirm(rest, texts, marks, percent, size))).toDF("node", "part")
+    labels = written(classes.select("node", "rep").join(label, "node", "left").select("node", "rep", F.coalesce("part", "node").alias("part")))
+    for old in (places, links, apart, member, classes):
+        discard(old)
+    smallest = labels.groupBy("part").agg(F.min("rep").alias("component_id"))
+    out = signed.select("doc_id", "mark", "n_shingles", F.col("set_hash").alias("node")).join(labels.join(smallest, "part").select("node", "component_id"), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

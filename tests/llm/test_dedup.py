@@ -141,6 +141,28 @@ def test_near_chain_of_edits(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows, 85, 5)
 
 
+def test_rows_of_one_id_are_nodes_of_their_own(spark):
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(0, one + " extra"), (1, one), (1, two), (5, two + " more")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_dedup(frame(spark, rows), percent=85).collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (5, 1, False)]
+    kept = sorted((r.doc_id, r.text) for r in minhash.drop_near_copies(frame(spark, rows), percent=85).collect())
+    assert kept == [(0, one + " extra"), (1, two)]
+
+
+def test_unlinked_pages_of_a_template_make_no_pairs(spark):
+    """120 pages that are a template to nine tenths: no two are linked, none is paired."""
+    base = [f"t{k}" for k in range(180)]
+    rows = [(i, " ".join([*base, *(f"p{i}w{k}" for k in range(22))])) for i in range(120)]
+    rows += [(200, " ".join([*base, "x"])), (201, " ".join([*base, "y"]))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_dedup(frame(spark, rows), percent=92).collect())
+    assert got == brute_near(rows, 92, 5)
+    member = spark.createDataFrame([(1, bytes([i]), 198, 176) for i in range(120)], "bucket long, node binary, size long, most long")
+    assert minhash._plausible(member, 92).count() == 0
+    member = member.union(spark.createDataFrame([(1, bytes([200]), 177, 177), (1, bytes([201]), 177, 176)], member.schema))
+    assert {r.node[0] for r in minhash._plausible(member, 92).collect()} >= {200, 201}
+
+
 def test_near_edges(spark):
     odd = [(None, "a b c d e f g"), (3, "a b c d e f g"), (3, "A B C d e f g"), (4, None), (5, "")]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_dedup(frame(spark, odd)).collect())
