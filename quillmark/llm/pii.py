@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "change-me"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What a match of each kind looks like; the order is that of preference. Each starts where no
@@ -154,12 +153,12 @@ def _kind(m: str) -> str:
     return "case " + " ".join(f"when {m} rlike {_sql_string(f'^(?:{p})$')} then '{k}'" for k, p in PATTERNS.items()) + " end"
 
 
-def pseudonym(m: str, key: str = KEY) -> Column:
+def pseudonym(m: str, key: str) -> Column:
     """The pseudonym of a string column that is one whole match of a kind; others stay."""
     return F.expr(f"case {' '.join(f'when {m} rlike {_sql_string(f"^(?:{p})$")} then {_MAKERS[k](m, key)}' for k, p in PATTERNS.items())} else {m} end")
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with validated private values of the text replaced by pseudonyms, and found: a
     struct kind, value, pseudonym for each validated value in text order.
 
@@ -173,17 +172,27 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     found; an empty table gives no rows; other columns are carried on, one named found is
     replaced. The key is part of the query's plan: keep plans as secret as the key.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(text_col).cast("string")
     matches, gaps = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), F.split(text, _ANY, -1)
     maybe = text.rlike(r"\d[ .-]?\d|@")  # every kind has one
-    made = F.expr(f"transform(_matches, m -> named_struct('kind', {_kind('m')}, 'value', m, 'pseudonym', {_inner(key)}))")
-    out = docs.withColumn("_matches", F.when(maybe, matches).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_made", made)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, F.col("_made.pseudonym"), lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "")
-    new = F.when(F.size("_made") > 0, joined).otherwise(text)
+    given, made = (_unused(docs, name) for name in ("matches", "made"))
+    out = docs.withColumn(given, F.when(maybe, matches).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn(made, F.expr(f"transform({given}, m -> named_struct('kind', {_kind('m')}, 'value', m, 'pseudonym', {_inner(key)}))"))
+    joined = F.array_join(F.flatten(F.zip_with(gaps, F.col(f"{made}.pseudonym"), lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "")
+    new = F.when(F.size(made) > 0, joined).otherwise(text)
     # a value may be its own pseudonym, so what stays the same is validated once more
-    found = F.expr(f"filter(_made, x -> x.value != x.pseudonym or case x.kind when 'card' then {_is_card('x.value')} when 'date' then {_is_date('x.value')} else true end)")
-    return out.withColumns({text_col: new, "found": F.coalesce(found, F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>"))}).drop("_matches", "_made")
+    found = F.expr(f"filter({made}, x -> x.value != x.pseudonym or case x.kind when 'card' then {_is_card('x.value')} when 'date' then {_is_date('x.value')} else true end)")
+    return out.withColumns({text_col: new, "found": F.coalesce(found, F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>"))}).drop(given, made)
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _inner(key: str) -> str:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillmark.llm import decontam, exact, linetemplate, lm, minhash, packing, pii, suffixarray, suffixtree, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Session setting with the key of pseudonyms, and the key of test data where it is unset.
+PII_KEY, TEST_KEY = "spark.quillmark.pii.key", "test data only"
 
 
 def tokenizer_path() -> str:
@@ -51,7 +53,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_KEY, TEST_KEY))
     counts = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.PATTERNS]
     return out.select("doc_id", "text", F.size("found").cast("bigint").alias("n_found"), *counts)
 

@@ -165,7 +165,91 @@ def test_pseudonyms(spark):
     assert "2020-02-30" in out[2].text and "99/99/2000" in out[2].text
     assert out[3].text is None and out[4].text == "" and out[5].text == texts[5] and out[7].text == texts[7]
     assert found["card", "4207051279108084"] in out[6].text and out[8].text.endswith(found["ip", "28.125.121.88"])
-    assert pii.pseudonymise(empty(spark)).count() == 0
+    assert pii.pseudonymise(empty(spark), "k").count() == 0
+
+
+def plain_pseudonym(kind, m, key):
+    """The pseudonym by plain Python arithmetic, without Spark."""
+    import datetime
+    import hashlib
+
+    digits = re.sub(r"\D", "", m)
+
+    def fill(new):
+        it = iter(new)
+        return "".join(next(it) if c.isdigit() else c for c in m)
+
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        x, y = feistel("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    if kind == "ssn":
+        areas = [a for a in range(1, 900) if a != 666]
+        x, y = feistel("ssn", areas.index(int(digits[:3])), (int(digits[3:5]) - 1) * 9999 + int(digits[5:]) - 1, 898, 99 * 9999, key)
+        return f"{areas[x]:03}-{y // 9999 + 1:02}-{y % 9999 + 1:04}"
+    if kind == "phone":
+        a, e, n = int(digits[:3]), int(digits[3:6]), int(digits[6:])
+        low, size = (lambda c: 200 if c >= 200 else 0), (lambda c: 800 if c >= 200 else 200)
+        x, y = feistel("phone", a - low(a), (e - low(e)) * 10000 + n, size(a), size(e) * 10000, key)
+        return fill(f"{x + low(a):03}{y // 10000 + low(e):03}{y % 10000:04}")
+    if kind == "card":
+        half = (len(digits) - 2) // 2
+        rest = len(digits) - 2 - half
+        x, y = feistel("card", int(digits[1 : 1 + half]), int(digits[1 + half : -1]), 10**half, 10**rest, key)
+        body = f"{digits[0]}{x:0{half}}{y:0{rest}}"
+        return fill(next(body + c for c in "0123456789" if luhn(body + c)))
+    if kind == "date":
+        orders = ["%Y-%m-%d"] if "-" in m else [f"%d{m[2]}%m{m[2]}%Y", f"%m{m[2]}%d{m[2]}%Y"]
+        for order in orders:
+            try:
+                day = datetime.datetime.strptime(m, order).date()
+            except ValueError:
+                continue
+            start = datetime.date(day.year // 100 * 100, 1, 1)
+            rows, parts = (487, 75) if start.year % 400 == 0 else (397, 92)
+            n = (day - start).days
+            x, y = feistel("date", n // rows, n % rows, parts, rows, key)
+            return (start + datetime.timedelta(x * rows + y)).strftime(order)
+    if kind == "email":
+        local, domain = m.rsplit("@", 1)
+        half = len(local) // 2
+        sides = [local[:half], local[half:]]
+        for i in range(1, pii.ROUNDS + 1):
+            own = 0 if i % 2 else 1
+            h = hashlib.sha256(f"{key}:email:{i}:{domain.lower()}:{sides[1 - own]}".encode()).hexdigest()
+            moved = ""
+            for j, c in enumerate(sides[own]):
+                k = int(h[(j % 16) * 4 : (j % 16) * 4 + 4], 16) + j
+                low = next((lo for lo, hi in ("09", "az", "AZ") if lo <= c <= hi), None)
+                moved += c if low is None else chr(ord(low) + (ord(c) - ord(low) + k) % (10 if low == "0" else 26))
+            sides[own] = moved
+        return "".join(sides) + "@" + domain
+    return m
+
+
+def test_every_format_against_plain_arithmetic(spark):
+    rng = __import__("random").Random(8)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    values = []
+    for _ in range(40):
+        y, mo, d = rng.randint(1600, 2399), rng.randint(1, 12), rng.randint(1, 28)
+        body = rng.choice("3456") + n(rng.randint(11, 17))
+        card = next(body + c for c in "0123456789" if luhn(body + c))
+        values += [
+            ("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4))), ("ssn", f"{rng.choice([1, 665, 667, 899, rng.randint(1, 665)]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}"),
+            ("phone", rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(n(3), n(3), n(4))), ("card", rng.choice([card, " ".join(card), "-".join([card[:4], card[4:]])])),
+            ("date", rng.choice(["{0:04}-{1:02}-{2:02}", "{2:02}/{1:02}/{0:04}", "{2:02}.{1:02}.{0:04}"]).format(y, mo, d)), ("date", f"{mo:02}/{rng.randint(13, 28)}/{y:04}"),
+            ("email", "".join(rng.choice("abcXYZ019._%+-") for _ in range(rng.randint(1, 40))) + "@" + rng.choice(["a.example.com", "X-1.co.uk"])),
+        ]
+    frame_ = spark.createDataFrame([(k, f"see {v}, then", 7) for k, (_, v) in enumerate(values)], "matches long, text string, made long")
+    out = pii.pseudonymise(frame_, "secret 'key'")
+    assert out.columns == ["matches", "text", "made", "found"]
+    for r in out.collect():
+        kind, v = values[r.matches]
+        assert [(x.kind, x.value, x.pseudonym) for x in r.found] == [(kind, v, plain_pseudonym(kind, v, "secret 'key'"))], (kind, v)
+        assert r.text == f"see {r.found[0].pseudonym}, then" and r.made == 7
+    with pytest.raises(ValueError):
+        pii.pseudonymise(frame_, "")
 
 
 def test_values_without_adjacent_digits_are_found(spark):
