@@ -12,9 +12,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Groups of identical texts: one row per row of docs.
 
     Three combining stages, each grouping by digest *and* full text: the map side combines the
-    rows of a task (partial aggregation), salted groups combine tasks, and the salt winners
-    combine globally. A group of any size thus sends one row per task to the salted stage and
-    at most `salts` rows to the last one. Rows then look their group up by digest alone, which
+    rows of a task (partial aggregation; the salt is the task's), salted groups combine tasks,
+    and the salt winners combine globally. A group of any size thus sends one row per task to
+    the salted stage and at most `salts` rows to the last one. Rows then look their group up by digest alone, which
     is safe because the last stage has counted the texts of each digest; a digest that stands
     for two texts (a broken SHA-256) raises an error instead of merging them.
 
@@ -28,7 +28,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256))
     salted = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .groupBy("digest", "text", "salt")
         .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
