@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import scan
+from quillmark.llm.storage import discard, written
 
 WINDOW = 10
 #: Bytes of window text in one broadcast set; a larger benchmark is scanned in several blocks.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 _SLOTS = 1 << 22
 
 
@@ -124,9 +125,10 @@ def find_contamination(
     """Occurrences of benchmark windows in docs: one row per row of docs.
 
     A window is `size` consecutive normalised words of an item, or all its words if it has
-    fewer. The windows are broadcast as hash sets of at most block_bytes of window text each; a
-    benchmark beyond that is scanned block after block, without a shuffle. Hashes only propose:
-    a hit's words are compared.
+    fewer. The windows are broadcast as a hash set of at most about block_bytes of window text;
+    a benchmark beyond that is scanned in one job a block, each over what the one before wrote,
+    so that no more than one block is in memory anywhere. Nothing is shuffled. Hashes only
+    propose: a hit's words are compared.
 
     Returns doc_id, n_words, items (ids as strings, sorted), spans (byte ranges of runs of hit
     words in the UTF-8 text, and their words), and the text if with_text. Null or empty texts
@@ -139,8 +141,16 @@ def find_contamination(
     out = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.array().cast(k).alias(c) for c, k in kinds.items()], F.lit(0).cast("bigint").alias("_words")
     )
+    before, shared = None, None
     for block in blocks(benchmark, item_col, item_text_col, size, block_bytes):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block)), out.schema)
+        if shared is not None:  # one block at a time is in memory: the scan of the last one ends first
+            done = written(out)
+            shared.unpersist()
+            if before is not None:
+                discard(before)
+            out = before = done
+        shared = spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(_scan(shared), out.schema)
     return out.select("doc_id", F.col("_words").alias("n_words"), F.col("_items").alias("items"), F.col("_spans").alias("spans"), *["text"] * with_text)
 
 
