@@ -92,7 +92,8 @@ def candidates(texts: DataFrame, find) -> tuple[DataFrame, DataFrame]:
 
     find: an Arrow function from texts to (key, doc_id, mark, place)."""
     found = written(texts.mapInArrow(find, "key long, doc_id long, mark long, place long"))
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # a table of its own, so that the join below can split a hot key's rows among tasks
+    again = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     places = found.join(again, "key").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "key")).alias("places"))
     return texts.join(places, ["doc_id", "mark"]), found
 

@@ -11,10 +11,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary folder of this
-    machine, set there, only where it names none (a local session, as in tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. A local session that names
+    none, as in tests, gets a temporary folder of this machine, set there; on a cluster, where
+    such a folder is lost with its machine, that is an error."""
     named = spark.conf.get(SETTING, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
