@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import scan
+from quillmark.llm.anchored import texts_of
+from quillmark.llm.storage import discard, written
 
-#: Words with an id of their own, and ids that all other words share by hash.
+#: Words with an id of their own in the network, and ids that all other words share by hash.
 KNOWN, SHARED = 1023, 1024
+#: Most words whose own counts are broadcast (16 bytes each); other words of an id share what
+#: is left of it evenly.
+WORDS = 1 << 20
 VOCAB, PAD = KNOWN + SHARED + 1, KNOWN + SHARED
 REACH, WIDTH, HIDDEN, CLASSES = 2, 16, 32, 32
 SLOTS = VOCAB // CLASSES
-BATCH, RATE, ROUNDS, SALTS = 8192, 0.08, 2, 16
+BATCH, RATE, ROUNDS = 8192, 0.08, 2
+#: Tokens that are trained on one after the other, and most such shards.
+SHARD, SHARDS = 1 << 21, 8192
 _PARTS = {"embed": (VOCAB, WIDTH), "inner": (2 * REACH * WIDTH, HIDDEN), "bias": (HIDDEN,), "top": (HIDDEN, CLASSES), "top_bias": (CLASSES,), "slot": (CLASSES, HIDDEN, SLOTS), "slot_bias": (CLASSES, SLOTS)}
 _SIZE = sum(int(np.prod(s)) for s in _PARTS.values())
 _BLOCK = 4096
@@ -39,18 +49,39 @@ def start() -> np.ndarray:
     return flat
 
 
-def token_ids(buf: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words (A-Z lower-cased) of some texts, and each text's first word. known:
-    sorted (hash, id) of the words with an id of their own."""
+@dataclass
+class Words:
+    """What is known of words: sorted hashes, the ids of each and the log of its share of all
+    occurrences of its id, and that share for the words not listed, by shared id."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    share: np.ndarray
+    rest: np.ndarray
+
+    @classmethod
+    def none(cls) -> Words:
+        return cls(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.float32), np.zeros(SHARED, np.float32))
+
+    def known(self) -> Words:
+        """Only the words with an id of their own."""
+        own = self.ids < KNOWN
+        return Words(self.hashes[own], self.ids[own], self.share[own], self.rest)
+
+
+def token_ids(buf: np.ndarray, bounds: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the words (A-Z lower-cased) of some texts, each text's first word, and the log of
+    each word's share of its id."""
     low = scan.LOWER[buf]
     begin, end, first = scan.words(low, bounds, scan.NOT_SPACE)
     h = scan.span_hashes(low, begin, end)
-    ids = KNOWN + ((h >> np.uint64(33)) % np.uint64(SHARED)).astype(np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known[:, 0], h), len(known) - 1)
-        hit = known[at, 0] == h
-        ids[hit] = known[at[hit], 1].astype(np.int64)
-    return ids, first
+    slot = ((h >> np.uint64(33)) % np.uint64(SHARED)).astype(np.int64)
+    ids, share = KNOWN + slot, words.rest[slot]
+    if len(words.hashes):
+        at = np.minimum(np.searchsorted(words.hashes, h), len(words.hashes) - 1)
+        hit = words.hashes[at] == h
+        ids[hit], share[hit] = words.ids[at[hit]], words.share[at[hit]]
+    return ids, first, share
 
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -156,11 +187,41 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Sorted (hash, id) of the KNOWN most frequent words of all texts."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    known = np.array([[r["word"] & ((1 << 64) - 1), k] for k, r in enumerate(top)], np.uint64).reshape(-1, 2)
-    return known[np.argsort(known[:, 0])]
+def vocabulary(docs: DataFrame, text_col: str = "text", most: int = WORDS) -> Words:
+    """Counts of all texts' words, as shares of their ids. The KNOWN most frequent words have
+    ids of their own. Words with a count from which there are at most `most` are listed; the
+    others are known by what they have in all, id by id."""
+    return _shares(written(word_counts(docs, text_col)), most)[0]
+
+
+def _shares(counts: DataFrame, most: int) -> tuple[Words, int]:
+    """(words, all occurrences) of written counts, which are removed."""
+    # few counts are distinct: n of them need n * (n + 1) / 2 occurrences at least
+    by_count = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    least, listed = (by_count[0][0] + 1 if by_count else 1), 0
+    for n, words in by_count:
+        listed += words
+        if listed > most:
+            break
+        least = n
+    rows = counts.where(F.col("n") >= least).toArrow()
+    h, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    slot = F.shiftrightunsigned("word", 33) % SHARED
+    sums = counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") < least, F.col("n"))).alias("left"), F.count(F.when(F.col("n") < least, 1)).alias("words")).collect()
+    discard(counts)
+    total, left, others = (np.zeros(SHARED) for _ in range(3))
+    for r in sums:
+        total[r["slot"]], left[r["slot"]], others[r["slot"]] = r["n"], r["left"] or 0, r["words"]
+    order = np.lexsort((h.view(np.int64), -n))[:KNOWN]
+    own = ((h >> np.uint64(33)) % np.uint64(SHARED)).astype(np.int64)
+    ids = KNOWN + own
+    ids[order] = np.arange(len(order))
+    occurrences = int(total.sum())
+    total -= np.bincount(own[order], n[order], SHARED)  # of the words that share an id
+    share = np.where(ids < KNOWN, 0.0, np.log(n / np.maximum(total[own], 1)))
+    rest = np.log(np.maximum(left, 1) / np.maximum(others, 1) / np.maximum(total, 1))
+    by = np.argsort(h)
+    return Words(h[by], ids[by], share[by].astype(np.float32), rest.astype(np.float32)), occurrences
 
 
 def _summed(rows: DataFrame, *by: str) -> DataFrame:
@@ -178,68 +239,82 @@ def _summed(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).applyInArrow(total, ", ".join(f"{c} {kinds[c]}" for c in names) + ", part int")
 
 
-def train(docs: DataFrame, known: np.ndarray, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, words: Words, shards: int, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after `rounds` rounds of local training and averaging.
 
-    In a round every task starts from the same parameters, learns from all its texts and sends
-    its parameters, weighted by its tokens; blocks of them are summed by salt and then in all,
-    so neither a task nor the driver gathers what grows with the number of tasks but 1 / SALTS
-    of it. Round r predicts the tokens at positions r, r + rounds, ... of each slice of text:
-    over all rounds every token is learnt from once."""
+    Texts are dealt to shards by a hash of id and text and come in its order there, so the
+    parameters don't depend on how rows lie in files or partitions. In a round every shard
+    starts from the same parameters, learns from all its texts and sends its parameters,
+    weighted by its tokens; blocks of them are summed by salt and then in all, so no task gathers
+    more than the square root of the number of shards. Round r predicts the tokens at places r,
+    r + rounds, ... of each text: over all rounds every token is learnt from once."""
     context = docs.sparkSession.sparkContext
-    flat = start()
+    flat, known, salts = start(), words.known(), math.isqrt(shards) + 1
+    order = F.xxhash64("doc_id", "text")
+    dealt = texts_of(docs, id_col, text_col).select(order.alias("order"), "text").withColumn("shard", F.pmod("order", F.lit(shards)))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "order").select("shard", "text")
     for r in range(rounds):
         shared = context.broadcast((flat, known))
 
         def run(batches, r=r, shared=shared):
-            from pyspark import TaskContext
-
             begin, words = shared.value
-            net, grown, tokens = Network(begin.copy()), np.full(_SIZE, 1e-4, np.float32), 0
-            left_c, left_t = np.empty((0, 2 * REACH), np.int64), np.empty(0, np.int64)
-            for _, buf, bounds in scan.pieces(batches, "text"):
-                ids, first = token_ids(buf, bounds, words)
-                chosen = slice(r, None, rounds)
-                c, t = np.concatenate((left_c, contexts(ids, first)[chosen])), np.concatenate((left_t, ids[chosen]))
-                whole = len(t) // BATCH * BATCH
-                for at in range(0, whole, BATCH):
-                    net.train(c[at : at + BATCH], t[at : at + BATCH], grown)
-                tokens += whole
-                left_c, left_t = c[whole:], t[whole:]
-            if len(left_t):
-                net.train(left_c, left_t, grown)
-                tokens += len(left_t)
-            if tokens:
-                part = TaskContext.get().partitionId()
+            now, net = None, None
+
+            def sent():
+                if len(left_t):
+                    net.train(left_c, left_t, grown)
+                n = float(tokens + len(left_t))
                 at = range(0, _SIZE, _BLOCK)
-                values = [(net.flat[i : i + _BLOCK].astype(np.float64) * tokens).tobytes() for i in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(at)), pa.int32()), pa.array([part % SALTS] * len(at), pa.int32()), pa.array([float(tokens)] * len(at)), pa.array(values, pa.binary()), pa.array([part] * len(at), pa.int32())],
+                values = [(net.flat[i : i + _BLOCK].astype(np.float64) * n).tobytes() for i in at]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(at)), pa.int32()), pa.array([now % salts] * len(at), pa.int32()), pa.array([n] * len(at)), pa.array(values, pa.binary()), pa.array([now] * len(at), pa.int32())],
                     ["block", "salt", "tokens", "values", "part"],
                 )
 
-        sent = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "block int, salt int, tokens double, values binary, part int")
-        total = _summed(_summed(sent, "block", "salt"), "block").orderBy("block").collect()
-        if not total:
+            for batch, buf, bounds in scan.pieces(batches, "text"):
+                shard = batch.column(0).to_numpy()
+                edges = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    if shard[i] != now:
+                        if now is not None:
+                            yield sent()
+                        now, net, grown, tokens = int(shard[i]), Network(begin.copy()), np.full(_SIZE, 1e-4, np.float32), 0
+                        left_c, left_t = np.empty((0, 2 * REACH), np.int64), np.empty(0, np.int64)
+                    ids, first, _ = token_ids(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
+                    chosen = (np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))) % rounds == r
+                    c, t = np.concatenate((left_c, contexts(ids, first)[chosen])), np.concatenate((left_t, ids[chosen]))
+                    whole = len(t) // BATCH * BATCH
+                    for at in range(0, whole, BATCH):
+                        net.train(c[at : at + BATCH], t[at : at + BATCH], grown)
+                    tokens += whole
+                    left_c, left_t = c[whole:], t[whole:]
+            if now is not None:
+                yield sent()
+
+        rows = dealt.mapInArrow(run, "block int, salt int, tokens double, values binary, part int")
+        total = _summed(_summed(rows, "block", "salt"), "block").orderBy("block").collect()
+        shared.unpersist()
+        if not total or not total[0]["tokens"]:
             break
         flat = np.concatenate([np.frombuffer(x["values"], np.float64) / x["tokens"] for x in total]).astype(np.float32)
     return flat
 
 
-def score(docs: DataFrame, known: np.ndarray, flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, words: Words, flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over all tokens of the log probability of the
     token given its neighbours), per_token (its mean, null without tokens)."""
-    shared = docs.sparkSession.sparkContext.broadcast((flat, known))
+    shared = docs.sparkSession.sparkContext.broadcast((flat, words))
 
     def run(batches):
         parameters, words = shared.value
         net = Network(parameters.copy())
         for batch, buf, bounds in scan.pieces(batches, "text"):
-            ids, first = token_ids(buf, bounds, words)
+            ids, first, share = token_ids(buf, bounds, words)
             around = contexts(ids, first)
             logs = np.zeros(len(ids) + 1)
             for at in range(0, len(ids), BATCH):
                 logs[at + 1 : at + 1 + BATCH] = net.log_probabilities(around[at : at + BATCH], ids[at : at + BATCH])
+            logs[1:] += share
             total = np.cumsum(logs)
             n = np.diff(first)
             likelihood = total[first[1:]] - total[first[:-1]]
@@ -250,13 +325,17 @@ def score(docs: DataFrame, known: np.ndarray, flat: np.ndarray, id_col: str = "d
     return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, per_token double")
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, tokens_a_shard: int = SHARD) -> DataFrame:
     """Scores all texts with a network trained on all of them; one row per row of docs.
 
-    Words are counted over all texts; the KNOWN most frequent have ids of their own, the rest
-    share ids by hash. Null and empty texts have no tokens, likelihood 0 and no mean; null and
-    repeated ids are rows like others; an empty table gives no rows; other columns are ignored.
-    The parameters depend on how rows lie in partitions, as each learns by itself in a round.
+    Words are counted over all texts. The network predicts ids: the KNOWN most frequent words
+    have ids of their own, the others share ids by hash. A word's log-probability is its id's
+    plus the log of the word's share of all occurrences of the id, so the probabilities of all
+    words of the corpus add up to 1 at any place. Null and empty texts have no tokens,
+    likelihood 0 and no mean; null and repeated ids are rows like others; an empty table gives
+    no rows; other columns are ignored. Results don't depend on how rows lie in partitions (but
+    for the rounding of float arithmetic).
     """
-    known = vocabulary(docs, text_col)
-    return score(docs, known, train(docs, known, text_col, rounds), id_col, text_col)
+    words, tokens = _shares(written(word_counts(docs, text_col)), WORDS)
+    shards = min(SHARDS, max(1, -(-tokens // tokens_a_shard)))
+    return score(docs, words, train(docs, words, shards, text_col, id_col, rounds), id_col, text_col)

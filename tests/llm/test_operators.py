@@ -3,7 +3,7 @@
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -262,7 +262,7 @@ def test_values_without_adjacent_digits_are_found(spark):
 def test_permutation_of_a_small_format(spark):
     """All days of a century get all days of that century."""
     days = spark.sql("select explode(sequence(date'1900-01-01', date'1999-12-31')) d").selectExpr("date_format(d, 'yyyy-MM-dd') m")
-    got = [r[0] for r in days.select(pii.pseudonym("m").alias("p")).collect()]
+    got = [r[0] for r in days.select(pii.pseudonym("m", "k").alias("p")).collect()]
     assert len(set(got)) == len(got) == 36524 and min(got) == "1900-01-01" and max(got) == "1999-12-31"
 
 
@@ -301,10 +301,44 @@ def test_lm_scores(spark):
     assert min(got[i].per_token for i, _ in common) > got[100].per_token
     assert lm.pseudo_likelihood(empty(spark)).count() == 0
     first, bounds = np.frombuffer(b"a b c", np.uint8), np.array([0, 3, 5])
-    ids, at = lm.token_ids(first, bounds, np.empty((0, 2), np.uint64))
+    ids, at = lm.token_ids(first, bounds, lm.Words.none())[:2]
     assert lm.contexts(ids, at).tolist() == [[lm.PAD, lm.PAD, ids[1], lm.PAD], [lm.PAD, ids[0], lm.PAD, lm.PAD], [lm.PAD] * 4]
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    rows = documents(4, 60)
+    want = None
+    for parts in (1, 3, 7):
+        flat = lm.pseudo_likelihood(frame(spark, rows[parts:] + rows[:parts]).repartition(parts), tokens_a_shard=700).collect()
+        got = sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in flat)
+        want = want or got
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-5)
+
+
+def test_shares_of_words_in_their_ids(spark):
+    """The likelihood is of words, not of ids: shares of an id's words, by plain counts, add to 1."""
+    words = [f"w{k}" for k in range(3000) for _ in range(1 + k % 5)] + ["top"] * 40
+    docs = frame(spark, [(i, " ".join(words[i::50])) for i in range(50)])
+    for most in (1 << 20, 1300):
+        found = lm.vocabulary(docs, most=most)
+        names = sorted(set(words))
+        buf, bounds = toxicity._joined([" ".join(names).encode()])
+        ids, _, share = lm.token_ids(buf, bounds, found)
+        own = Counter(words)
+        total = defaultdict(int)
+        for w, i in zip(names, ids, strict=True):
+            total[i] += own[w]
+        listed = {w for w in names if own[w] >= (1 if most > 3001 else 4)}
+        for w, i, s in zip(names, ids, share, strict=True):
+            if i < lm.KNOWN:
+                assert s == 0
+            elif w in listed:
+                assert math.isclose(math.exp(s), own[w] / total[i], rel_tol=1e-4)
+        for i in set(ids.tolist()):
+            assert i < lm.KNOWN or math.isclose(sum(math.exp(s) for s, j in zip(share, ids, strict=True) if i == j), 1, rel_tol=1e-3)
+
+
 def test_line_templates(spark):
     rng = __import__("random").Random(7)
     rows = [(i, "\n".join([passage(rng, 8).replace("1", "a"), f"Served by node {i} in {i * 3} ms", passage(rng, 9), "", "All rights reserved."])) for i in range(12)]
