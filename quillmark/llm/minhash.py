@@ -108,8 +108,8 @@ def lowest(threshold: float) -> float:
 
 
 def _texts_of(nodes: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """node, text of the classes among nodes, each by its representative row (one of equal ones)."""
-    return texts.join(marks.join(nodes, "node", "left_semi"), ["id", "mark"]).select("node", "text").dropDuplicates(["node"])
+    """node, text of the classes among nodes, each by its representative row or rows equal to it."""
+    return texts.join(marks.join(nodes, "node", "left_semi"), ["id", "mark"]).select("node", "text")
 
 
 def _shingles(size: int):
@@ -134,7 +134,7 @@ def _alone(nodes: DataFrame, texts: DataFrame, marks: DataFrame, size: int) -> D
 def _confirm(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs a, b whose full shingle sets meet the threshold."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = _texts_of(needed, texts, marks)
+    own = _texts_of(needed, texts, marks).dropDuplicates(["node"])
     full = pairs.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
@@ -217,9 +217,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = member.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", F.col("top.part").alias("main"))
     apart = written(member.join(largest, "bucket"))
-    alone = _alone(apart.select("node").distinct(), texts, marks, size)
-    known = classes.join(alone, "node", "left").select("node", "bands", "bits", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
-    member = written(_plausible(apart.join(known, "node"), percent))
+    nodes = apart.select("node").distinct()
+    alone = _alone(nodes, texts, marks, size)
+    sizes = classes.join(nodes, "node", "left_semi").join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    sized = written(apart.join(sizes, "node"))
+    member = written(_plausible(sized, percent).join(classes.select("node", "bands", "bits"), "node"))
     own = lambda s: [F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("part", "bands", "bits", "size", "most")]]
     x = member.where("part != main").select("bucket", *own("a"))
     y = member.select("bucket", *own("b"), (F.col("part") == F.col("main")).alias("is_main"))
@@ -234,7 +236,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     label = connected_components(links.union(_confirm(rest, texts, marks, percent, size))).toDF("node", "part")
     labels = written(classes.select("node", "rep").join(label, "node", "left").select("node", "rep", F.coalesce("part", "node").alias("part")))
-    for old in (places, links, apart, member, classes):
+    for old in (places, links, apart, sized, member, classes):
         discard(old)
     smallest = labels.groupBy("part").agg(F.min("rep").alias("component_id"))
     out = signed.select("doc_id", "mark", "n_shingles", F.col("set_hash").alias("node")).join(labels.join(smallest, "part").select("node", "component_id"), "node", "left")
