@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query names that never tell documents apart.
 TRACKING = ("fbclid", "gclid")
@@ -90,10 +94,32 @@ def mobile_urls(url: Column) -> Column:
     return F.filter(F.array_distinct(F.array_compact(found)), lambda u: u != url)
 
 
+@F.pandas_udf(T.BooleanType())
+def reserved_address(hosts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Whether a host is an address that isn't of the public internet: private, loopback,
+    link-local, multicast, reserved or unspecified, also one of these as a mapped IPv6 address.
+    Names are no addresses. Python: the ranges are the standard library's."""
+    import ipaddress
+
+    def one(host):
+        try:
+            address = ipaddress.ip_address((host or "").strip("[]"))
+        except ValueError:
+            return False
+        address = getattr(address, "ipv4_mapped", None) or address
+        return not address.is_global or address.is_multicast or address.is_reserved
+
+    for s in hosts:
+        yield s.map(one).astype(bool)
+
+
 def unsafe(url: Column) -> Column:
-    """Static part of URL safety: no http(s), user info, control characters or private host."""
-    private = r"^(?:localhost|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+|169\.254\.\d+\.\d+|0\.0\.0\.0|\[?::1\]?)$"
-    return ~scheme(url).isin("http", "https") | authority(url).contains("@") | url.rlike(r"[\x00-\x20\x7f]") | (host(url) == "") | host(url).rlike(private)
+    """Static part of URL safety: no http(s), user info, control characters, no host, this
+    machine's name or an address that isn't public. Only hosts that look like addresses reach
+    Python."""
+    name = host(url)
+    address = F.when(name.rlike(r"^[\d.]+$|^\["), name)
+    return ~scheme(url).isin("http", "https") | authority(url).contains("@") | url.rlike(r"[\x00-\x20\x7f]") | (name == "") | name.rlike(r"^localhost\.?$") | reserved_address(address)
 
 
 def file_extension(url: Column) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators import ordering
+
 
 def _w(by: list[str]) -> Window:
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
@@ -22,15 +24,13 @@ def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def waterfall(df: DataFrame, amount: str, order: str, total_last: bool = False) -> DataFrame:
-    """start, delta, end and class (increase, decrease, total) of each bar in arrival order.
-    total_last: the last row restates the running total."""
-    w = Window.partitionBy(F.lit(1)).orderBy(order)
+    """start, end and class (increase, decrease, total) of each bar in the order of a column
+    without repeats. total_last: the last row restates the running total."""
     a = F.coalesce(F.col(amount), F.lit(0.0))
-    n = F.row_number().over(w)
-    last = (n == F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))) & F.lit(total_last)
-    before = F.coalesce(F.sum(a).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    start = F.when(last, 0.0).otherwise(before)
-    return df.select("*", n.alias("ordinal"), start.alias("start"), (start + a).alias("end"), F.when(last, "total").when(a >= 0, "increase").otherwise("decrease").alias("class"))
+    placed = ordering.running_sum(ordering.numbered(df, "ordinal", [order]), "_before", a, [order])
+    last = (F.col("ordinal") == F.lit(df.count() if total_last else -1))
+    start = F.when(last, 0.0).otherwise(F.col("_before"))
+    return placed.select(*df.columns, "ordinal", start.alias("start"), (start + a).alias("end"), F.when(last, "total").when(a >= 0, "increase").otherwise("decrease").alias("class"))
 
 
 def stack(df: DataFrame, x: str, series: str, value: str, mode: str = "zero") -> DataFrame:
@@ -211,9 +211,9 @@ def regression(df: DataFrame, x: str, y: str, by: list[str] = [], method: str =
 
 
 def gaps(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values with the gap to the one before. Values are made distinct before the
-    one sort there is."""
-    return df.select(value).where(F.col(value).isNotNull()).distinct().withColumn("gap", F.col(value) - F.lag(value).over(Window.partitionBy(F.lit(1)).orderBy(value)))
+    """Distinct values with the gap to the one before."""
+    distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
+    return ordering.with_previous(distinct, "_last", value).select(value, (F.col(value) - F.col("_last")).alias("gap"))
 
 
 def min_gap(df: DataFrame, value: str) -> DataFrame:
@@ -221,11 +221,15 @@ def min_gap(df: DataFrame, value: str) -> DataFrame:
 
 
 def equal_stride(df: DataFrame, value: str, tolerance: float = 0.01) -> DataFrame:
-    """One row: equal: every gap is within 1 % of the (upper) median gap."""
-    g = gaps(df, value).where("gap is not null")
-    ordered = g.agg(F.sort_array(F.collect_list("gap")).alias("_g"))
-    mid = F.try_element_at("_g", (F.floor(F.size("_g") / 2) + 1).cast("int"))
-    return ordered.select((F.size("_g") > 0).alias("_some"), F.forall("_g", lambda x: F.abs(x - mid) <= tolerance * F.abs(mid)).alias("_all")).select((F.col("_some") & F.col("_all")).alias("equal"))
+    """One row: equal: every gap is within 1 % of the (upper) median gap. Gaps are counted per
+    value; of equal strides there are few."""
+    sizes = gaps(df, value).where("gap is not null").groupBy("gap").agg(F.count(F.lit(1)).alias("_n"))
+    n = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    through = ordering.running_sum(sizes, "_before", F.col("_n"), ["gap"])
+    middle = through.where((F.col("_before") <= n // 2) & (F.col("_before") + F.col("_n") > n // 2)).select(F.col("gap").alias("_mid"))
+    far = F.abs(F.col("gap") - F.col("_mid")) > tolerance * F.abs("_mid")
+    checked = sizes.crossJoin(F.broadcast(middle))  # the one median gap
+    return checked.agg(((F.count(F.lit(1)) > 0) & ~F.coalesce(F.bool_or(far), F.lit(False))).alias("equal"))
 
 
 def padded_extent(df: DataFrame, value: str) -> DataFrame:
@@ -386,12 +390,12 @@ def label_stats(df: DataFrame, column: str) -> DataFrame:
 def axis_label(df: DataFrame, entity: str, period: str, fact_id: str) -> DataFrame:
     """df with label: the period if periods are unique, else the entity if they are, else both,
     with the id where even that repeats."""
-    one = Window.partitionBy(F.lit(1))
     both = F.concat_ws(" · ", entity, period)
-    n = F.count(F.lit(1)).over(one)
-    distinct = lambda c: F.size(F.collect_set(c).over(one))
-    label = F.when(distinct(F.col(period)) == n, F.col(period)).when(distinct(F.col(entity)) == n, F.col(entity)).when(F.count(F.lit(1)).over(Window.partitionBy(both)) == 1, both)
-    return df.withColumn("label", label.otherwise(F.concat(both, F.lit(" "), F.col(fact_id))))
+    n, periods, entities = df.agg(F.count(F.lit(1)), F.count_distinct(period), F.count_distinct(entity)).first()
+    if n in (periods, entities):
+        return df.withColumn("label", F.col(period if n == periods else entity))
+    alone = F.count(F.lit(1)).over(Window.partitionBy(both)) == 1
+    return df.withColumn("label", F.when(alone, both).otherwise(F.concat(both, F.lit(" "), F.col(fact_id))))
 
 
 def same_unit(df: DataFrame, unit: str, raw: str) -> DataFrame:

@@ -20,25 +20,59 @@ def quote_key(text: Column, size: int = 8) -> Column:
     return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, size), " ")
 
 
-def contained_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, size: int = 6) -> DataFrame:
+def _grams(words: Column) -> Column:
+    """A hash of every six consecutive words: of pairs, of pairs of pairs, and a pair more."""
+    rest = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))
+    join = lambda a, b: F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: F.xxhash64(x, y))
+    pairs = join(words, rest(words, 1))
+    return join(join(pairs, rest(pairs, 2)), rest(pairs, 4))
+
+
+#: Words of a quote that are looked up together.
+GRAM = 6
+
+
+def contained_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str) -> DataFrame:
     """quote_id, doc_id where the document's text contains the quote's text, byte for byte.
 
-    Words inside the quote (without the first and last, which may be cut) are looked up as
-    word n-grams in an equi-join, then the text is compared; quotes of fewer words meet the
-    documents by a broadcast, which is as large as those short quotes. The n-gram table is what
-    is shuffled, not pairs."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    gram = lambda ws, i: F.array_join(F.slice(ws, i, size), " ")
+    Words inside a quote (without the first and last, which may be cut) are looked up in the
+    documents in an equi-join, GRAM of them, or one of a shorter quote; then the text is
+    compared. A quote of one or two words has no word inside and is looked up by its characters:
+    a quote of four or more has a key of four of them, a shorter one is compared with every
+    text. What is shuffled are keys, not pairs; a few quotes' keys are broadcast, if Spark finds
+    them small."""
+    trimmed = lambda c: F.trim(c, F.lit(" \t\n\r\x0b\x0c"))
+    words = lambda c: F.split(trimmed(c), r"\s+")
     q = quotes.select(F.col(quote_id).alias("_q"), F.col("text").alias("_quote"), words(F.col("text")).alias("_w")).where("_quote is not null")
-    long = q.where(F.size("_w") >= size + 2).withColumn("_key", F.xxhash64(gram(F.col("_w"), 2)))
-    short = q.where(F.size("_w") < size + 2)
     d = documents.select(F.col(doc_id).alias("_d"), F.col("text").alias("_text")).where("_text is not null")
-    keys = d.select("_d", words(F.col("_text")).alias("_w")).where(F.size("_w") >= size)
-    keys = keys.select("_d", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - size + 1), lambda i: F.xxhash64(gram(F.col("_w"), i))))).alias("_key"))
-    hits = keys.join(long.select("_q", "_key"), "_key").select("_q", "_d").distinct()
-    sure = hits.join(long.select("_q", "_quote"), "_q").join(d, "_d").where(F.contains("_text", F.col("_quote"))).select("_q", "_d")
-    few = d.join(F.broadcast(short.select("_q", "_quote")), F.contains("_text", F.col("_quote"))).select("_q", "_d")
-    return sure.union(few).select(F.col("_q").alias(quote_id), F.col("_d").alias(doc_id))
+    inner, n = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), F.size("_w") - 2
+    whole, found = q.select("_q", "_quote", inner.alias("_w"), n.alias("_n")), []
+    text = words(F.col("_text"))
+    lookups = (
+        (whole.where(F.col("_n") >= GRAM), lambda w: _grams(w), lambda w: F.get(_grams(w), F.lit(0))),
+        (whole.where(F.col("_n").between(1, GRAM - 1)), lambda w: F.transform(w, lambda x: F.xxhash64(x)), lambda w: F.xxhash64(F.get(w, F.lit(0)))),
+    )
+    for some, every, one in lookups:
+        if some.isEmpty():
+            continue
+        keyed = some.select("_q", "_quote", one(F.col("_w")).alias("_key"))
+        places = d.select("_d", F.explode(every(text)).alias("_key")).join(keyed.select("_key").distinct(), "_key", "left_semi").distinct()
+        hits = places.join(keyed, "_key").select("_q", "_quote", "_d")
+        found.append(hits.join(d, "_d").where(F.contains("_text", F.col("_quote"))).select("_q", "_d"))
+    tiny = q.where(F.size("_w") <= 2)
+    if not tiny.isEmpty():
+        key = lambda c, i: F.substring(c, i, 4)
+        four = tiny.where(F.length("_quote") >= 4).select("_q", "_quote", key(F.col("_quote"), 1).alias("_key"))
+        places = d.where(F.length("_text") >= 4).select("_d", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_text") - 3), lambda i: F.col("_text").substr(i, F.lit(4))))).alias("_key"))
+        hits = places.join(four, "_key").select("_q", "_quote", "_d")
+        found.append(hits.join(d, "_d").where(F.contains("_text", F.col("_quote"))).select("_q", "_d"))
+        for r in tiny.where(F.length("_quote") < 4).select("_quote").distinct().collect():  # texts of three characters at most
+            same = tiny.where(F.col("_quote") == r[0]).select("_q")
+            found.append(d.where(F.contains("_text", F.lit(r[0]))).select("_d").crossJoin(same).select("_q", "_d"))
+    out = found[0] if found else q.select("_q").limit(0).crossJoin(d.select("_d").limit(0))
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select(F.col("_q").alias(quote_id), F.col("_d").alias(doc_id))
 
 
 def _fragments(quote: str) -> list[str]:

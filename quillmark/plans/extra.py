@@ -6,13 +6,13 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.catalog import table
 from quillmark.functions import quantity, refs, semantics
 from quillmark.functions import text as tx
-from quillmark.operators import logs, provenance, rules, spans
+from quillmark.operators import logs, ordering, provenance, rules, spans
 from quillmark.sources import html, markdown
 from quillmark.streaming import logs as streams
 
@@ -125,9 +125,10 @@ def receipt_currency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN regexp_matches(c_name, '^[A-Za-z0-9]') THEN 0 ELSE 2 END, lower(c_name), c_name, c_custkey)::INT AS place FROM customer""")
+SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN regexp_matches(c_name, '^[A-Za-z0-9]') THEN 0 ELSE 2 END, lower(c_name), c_name, c_custkey) AS place FROM customer""")
 def script_collation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*refs.collation(F.col("c_name")), "c_custkey")).alias("place"))
+    keyed = table(spark, d, "customer").select("c_custkey", *[k.alias(f"k{i}") for i, k in enumerate(refs.collation(F.col("c_name")))])
+    return ordering.numbered(keyed, "place", [c for c in keyed.columns if c != "c_custkey"] + ["c_custkey"]).select("c_custkey", "place")
 
 
 @query("""
@@ -142,7 +143,10 @@ def number_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
