@@ -158,9 +158,17 @@ def regression_power(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(charts.regression(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", method="pow").drop("r2"), "intercept", "slope")
 
 
-@query()
+@query("""
+WITH s AS (
+  SELECT l_returnflag, count(*)::DOUBLE AS n, sum(x) AS a, sum(x * x) AS b, sum(x * x * x) AS c, sum(x * x * x * x) AS d, sum(y) AS p, sum(x * y) AS q, sum(x * x * y) AS r
+  FROM (SELECT l_returnflag, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem) GROUP BY 1),
+e AS (SELECT *, n * (b * d - c * c) - a * (a * d - b * c) + b * (a * c - b * b) AS det FROM s)
+SELECT l_returnflag, n::BIGINT AS n, round((p * (b * d - c * c) - a * (q * d - c * r) + b * (q * c - b * r)) / det, 1) AS c0,
+  round((n * (q * d - r * c) - p * (a * d - b * c) + b * (a * r - b * q)) / det, 2) AS c1, round((n * (b * r - c * q) - a * (a * r - b * q) + p * (a * c - b * b)) / det, 3) AS c2 FROM e""")
 def regression_quadratic(spark: SparkSession, d: str) -> DataFrame:
-    return charts.regression(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"], method="quad")
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    fit = charts.regression(rows, "x", "y", ["l_returnflag"], method="quad")
+    return fit.select("l_returnflag", "n", *[F.round(F.col("coefficients")[i], p).alias(f"c{i}") for i, p in enumerate((1, 2, 3))])
 
 
 @query("""
@@ -272,9 +280,14 @@ def top_orders(spark: SparkSession, d: str) -> DataFrame:
     return charts.top_n(table(spark, d, "orders"), 10, F.desc("o_totalprice"), F.col("o_orderkey"))[0].select("o_orderkey", "o_totalprice")
 
 
-@query()
+@query("""
+WITH b AS (SELECT p_size::DOUBLE AS x, avg(p_retailprice) AS y, row_number() OVER (ORDER BY p_size) - 1 AS rn FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL GROUP BY p_size),
+m AS (SELECT k, rn // (1 << k) AS b, avg(x) AS x, avg(y) AS y FROM b, (VALUES (0), (1), (2)) AS s(k) GROUP BY 1, 2),
+g AS (SELECT k, abs((y - lag(y) OVER w) / nullif(x - lag(x) OVER w, 0)) AS s FROM m WINDOW w AS (PARTITION BY k ORDER BY b)),
+q AS (SELECT k, median(s) AS m FROM g GROUP BY 1 HAVING median(s) > 0)
+SELECT round(exp(avg(ln(m))), 4) AS slope FROM q""")
 def median_slope(spark: SparkSession, d: str) -> DataFrame:
-    return charts.median_slope(table(spark, d, "part"), "p_size", "p_retailprice")
+    return _rounded(charts.median_slope(table(spark, d, "part"), "p_size", "p_retailprice"), "slope", places=4)
 
 
 @query("""

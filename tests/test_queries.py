@@ -9,11 +9,11 @@ import duckdb
 import pytest
 
 from quillmark.catalog import TABLES
-from quillmark.plans import charts, extra, relational
+from quillmark.plans import cases, charts, extra, relational
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {**relational.QUERIES, **charts.QUERIES, **extra.QUERIES}
-SQL = {**relational.SQL, **charts.SQL, **extra.SQL}
+QUERIES = {**relational.QUERIES, **charts.QUERIES, **extra.QUERIES, **cases.QUERIES}
+SQL = {**relational.SQL, **charts.SQL, **extra.SQL, **cases.SQL}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="needs the test tables")
 
