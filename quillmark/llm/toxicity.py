@@ -17,7 +17,7 @@ from quillmark.llm import scan
 WINDOW_WORDS, WINDOW_BYTES = 6, 192
 #: Bounds of the sample that the classifier is fitted on: rows of each label, and bytes of a
 #: row's text (longer labelled rows aren't drawn).
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16_384
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 16_384
 #: Bytes of the head that both dictionaries share and of a label's own part at last; bytes of
 #: that part in the rounds that choose what it is trained on.
 HEAD, OWN = 32 << 10, 1 << 10
@@ -28,6 +28,8 @@ SEGMENT, MATCH = 24, 6
 CHOSEN = 99
 THRESHOLD = 0.7
 _SPACE = np.uint8(32)
+#: Rows of the sample whose sequences are compared at once, words that are copied at once.
+_AT_ONCE, _WORDS = 500, 1 << 16
 
 
 @dataclass
@@ -54,7 +56,9 @@ def windows(buf: np.ndarray, bounds: np.ndarray, with_once: bool = False) -> Win
     size = end - begin
     goal = np.concatenate(([1], 1 + np.cumsum(size + 1)))  # where each word starts in the new buffer
     raw = np.full(goal[-1], _SPACE, np.uint8)
-    raw[scan.ragged(goal[:-1], size)] = low[scan.ragged(begin, size)]
+    for i in range(0, len(begin), _WORDS):
+        some = slice(i, i + _WORDS)
+        raw[scan.ragged(goal[:-1][some], size[some])] = low[scan.ragged(begin[some], size[some])]
     counts = np.diff(first)
     per = -(-counts // WINDOW_WORDS)
     at = np.concatenate(([0], np.cumsum(per)))
@@ -63,11 +67,10 @@ def windows(buf: np.ndarray, bounds: np.ndarray, with_once: bool = False) -> Win
     start, stop = goal[head] - 1, goal[tail]
     once = np.ones(len(head), bool)
     if with_once and len(begin) > 2:
-        triples = scan.row_hashes(scan.span_hashes(low, begin, end), 3)
-        _, which, times = np.unique(triples, return_inverse=True, return_counts=True)
-        text = np.repeat(np.arange(len(counts)), counts)
-        again = np.concatenate(([0], np.cumsum((times[which] > 1) & (text[2:] == text[:-2]))))
-        n = len(triples)
+        repeated = _repeated(scan.row_hashes(scan.span_hashes(low, begin, end), 3))
+        text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        again = np.concatenate(([0], np.cumsum(repeated & (text[2:] == text[:-2]), dtype=np.int32)))
+        n = len(repeated)
         once = again[np.minimum(tail, n)] == again[np.clip(head - 2, 0, n)]
     long = stop - start > WINDOW_BYTES
     if long.any():
@@ -80,6 +83,15 @@ def windows(buf: np.ndarray, bounds: np.ndarray, with_once: bool = False) -> Win
     return Windows(raw.tobytes(), start, stop - start, at, once)
 
 
+def _repeated(values: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    ordered = np.sort(values)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return np.zeros(len(values), bool)
+    return twice[np.minimum(np.searchsorted(twice, values), len(twice) - 1)] == values
+
+
 def _content(samples: list[bytes], size: int) -> bytes:
     """A dictionary of that size trained by zstandard; too little text is taken as it is."""
     samples = [s for s in samples if len(s) >= 8]
@@ -196,13 +208,22 @@ def _without_copies(sample: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     low = scan.LOWER[buf]
     begin, end, first = scan.words(low, bounds, scan.ALNUM)
     shingles = scan.row_hashes(scan.span_hashes(low, begin, end), 5)
-    text = np.repeat(np.arange(len(sample)), np.diff(first))[: len(shingles)]
-    inside = np.arange(len(shingles)) + 5 <= first[text + 1] if len(shingles) else np.empty(0, bool)
-    shingles, text = shingles[inside], text[inside]
-    _, earliest, which = np.unique(shingles, return_index=True, return_inverse=True)
-    old = text[earliest][which] < text
-    n = np.bincount(text, minlength=len(sample))
-    return [r for r, copied, size in zip(sample, np.bincount(text, old, len(sample)), n, strict=True) if not size or 2 * copied < size]
+    del buf, low, begin, end
+    seen, out = np.empty(0, np.uint64), []
+    for at in range(0, len(sample), _AT_ONCE):
+        rows = sample[at : at + _AT_ONCE]
+        own = [np.unique(shingles[first[at + k] : max(first[at + k], first[at + k + 1] - 4)]) for k in range(len(rows))]
+        old = [seen[np.minimum(np.searchsorted(seen, o), len(seen) - 1)] == o if len(seen) else np.zeros(len(o), bool) for o in own]
+        # within the rows taken at once: what an earlier one of them has
+        text = np.repeat(np.arange(len(rows)), [len(o) for o in own])
+        every = np.concatenate(own) if own else np.empty(0, np.uint64)
+        by = np.lexsort((text, every))
+        again = np.zeros(len(every), bool)
+        again[by[1:]] = every[by][1:] == every[by][:-1]
+        copied = np.bincount(text, np.concatenate(old) | again, len(rows)) if len(every) else np.zeros(len(rows))
+        out += [r for r, o, n in zip(rows, own, copied, strict=True) if not len(o) or 2 * n < len(o)]
+        seen = np.union1d(seen, every)
+    return out
 
 
 def fit(sample: list[tuple[bytes, int]], share: dict[int, float]) -> Model:
@@ -219,12 +240,15 @@ def fit(sample: list[tuple[bytes, int]], share: dict[int, float]) -> Model:
 
     Without two rows of both labels nothing can be told apart, and every score is 0."""
     sample = _without_copies(sample)
+    scan.give_back()
     by = [[t for t, label in sample if label == wanted] for wanted in (0, 1)]
     if min(map(len, by)) < 2:
         return Model()
     every = [t[half::2] for half in (0, 1) for t in by]  # ordinary and toxic of one half, then of the other
     buf, bounds = _joined([t for part in every for t in part])
     whole = windows(buf, bounds, with_once=True)
+    del buf
+    scan.give_back()
     parts, at = [], 0
     for texts in every:
         lo, hi = whole.at[at], whole.at[at + len(texts)]
