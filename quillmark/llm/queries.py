@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, exact, linetemplate, lm, minhash, packing, pii, suffixarray, suffixtree, toxicity
+from quillmark.llm import decontam, divergence, exact, linetemplate, lm, minhash, packing, pii, suffixarray, suffixtree, toxicity, variants
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Session setting with the key of pseudonyms, and the key of test data where it is unset.
@@ -87,6 +87,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -98,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_line_template_dedup": op9_line_template_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _OP6 = """
@@ -173,4 +183,64 @@ SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS
 FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": _OP2, "op3_substring_dedup": _OP3, "op5_suffix_array_dedup": _OP5, "op6_exact_dedup": _OP6, "op7_minhash_near_dedup": _OP7}
+# crc32 byte by byte, with its table of remainders computed from the polynomial
+_OP11 = f"""
+WITH RECURSIVE rem(i, step, v) AS (
+  SELECT range, 0, range::BIGINT FROM range(256)
+  UNION ALL SELECT i, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM rem WHERE step < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM rem WHERE step = 8),
+run AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-z' || chr(192) || '-' || chr(255) || ']+'))")} AS w FROM documents WHERE text IS NOT NULL),
+one AS (SELECT doc_id, w, count(*) AS k, hex(encode(doc_id || ':' || w)) AS x FROM run GROUP BY doc_id, w),
+h AS (
+  SELECT w, k, xor(list_reduce(
+    list_transform(range(length(x) // 2), lambda i: ('0x' || substring(x, 2 * i::BIGINT + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM one, tab),
+seen AS (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM seen WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM words, unnest(generate_series(1, length(word))) AS t(i)),
+near AS (
+  SELECT a.word AS x, b.word AS y, b.n AS n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON rest = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON rest = words.word),
+best AS (SELECT x, count(*) AS n_near, min((-n, y)) AS b FROM near GROUP BY x),
+found AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b[1] >= 5 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 5 * n THEN -b[1] END AS form_n
+  FROM words LEFT JOIN best ON word = x),
+walk AS (SELECT word, word AS last, 0 AS d FROM found UNION ALL SELECT walk.word, form, d + 1 FROM walk JOIN found ON walk.last = found.word WHERE form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, d) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN ends USING (word)
+"""
+
+_OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+ln AS (SELECT lang, sum(c)::HUGEINT AS n, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (gn.n + v) AS p,
+         1 + 1000000000::HUGEINT * (k.c + 1) // (ln.n + v) AS q
+  FROM g JOIN k USING (lang) JOIN ln USING (lang) JOIN gn USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": _OP2,
+    "op3_substring_dedup": _OP3,
+    "op5_suffix_array_dedup": _OP5,
+    "op6_exact_dedup": _OP6,
+    "op7_minhash_near_dedup": _OP7,
+    "op11_spelling_variants": _OP11,
+    "op12_source_divergence": _OP12,
+}
