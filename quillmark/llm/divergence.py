@@ -79,6 +79,8 @@ def weights(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending ids and their counts: gaps and counts byte plane by byte plane, by zstandard."""
+    if not len(ids):
+        return bytes(4)
     planes = [np.diff(ids, prepend=-1).astype("<u4"), counts.astype("<i8")]
     raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in planes)
     return len(ids).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontam, divergence, exact, linetemplate, lm, minhash, packing, pii, suffixarray, suffixtree, toxicity, variants
+from quillmark.llm import decontam, divergence, exact, linetemplate, lm, minhash, packing, pii, quality, suffixarray, suffixtree, toxicity, variants
+from quillmark.llm.storage import written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Session setting with the key of pseudonyms, and the key of test data where it is unset.
@@ -24,9 +25,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def held_out() -> Column:
+def held_out(folds: int = 3, fold: int = 1) -> Column:
     """Rows that no classifier learns a label from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return F.crc32(F.col("doc_id").cast("string")) % folds == fold
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(_read(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    stats = written(quality.statistics(docs))
+    model = quality.fit(stats, labels.where(~held_out(5, 0)))
+    scored = quality.score_statistics(stats, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -108,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_source_divergence": op12_source_divergence,
+    "op13_quality": op13_quality,
 }
 
 _OP6 = """
