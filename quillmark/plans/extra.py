@@ -157,13 +157,12 @@ def _folder(spark: SparkSession) -> str:
 @query("""
 SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def stream_last_state(spark: SparkSession, d: str) -> DataFrame:
-    """The log read as a stream, the last row of each key kept in a dataset."""
+    """The log read as a stream, the last row of each key kept in buckets of a dataset."""
     at = _folder(spark)
     events = table(spark, d, "events")
     stream = streams.read_log(spark, f"{d}/events.parque[t]", events.schema, format="parquet")
     stream = stream.select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
-    streams.upsert_once(stream, f"{at}/state", f"{at}/checkpoint", "user_id", "at")
-    return spark.read.parquet(f"{at}/state").select("user_id", "event_type")
+    return streams.upsert_once(stream, f"{at}/state", f"{at}/checkpoint", "user_id", "at").read().select("user_id", "event_type")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

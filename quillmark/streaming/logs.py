@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.streaming.state import BUCKETS, KeyedState
+
 
 def read_log(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None, format: str = "json") -> DataFrame:
     reader = spark.readStream.schema(schema).format(format)
@@ -38,15 +40,9 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     stream.writeStream.outputMode(mode).format(format).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_once(stream: DataFrame, path: str, checkpoint: str, key: str, at: str) -> None:
-    """Keeps the last row of each key in a Parquet dataset: each batch is merged with what is
-    there and written as a whole (exactly once: a repeated batch gives the same rows)."""
-    from quillmark.operators.logs import latest
-    from quillmark.sources.files import _exists, overwrite
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(path) if _exists(spark, path) else batch.limit(0)
-        overwrite(latest(old.unionByName(batch), [key], at), path)
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def upsert_once(stream: DataFrame, path: str, checkpoint: str, key: str, at: str, buckets: int = BUCKETS) -> KeyedState:
+    """Keeps the last row of each key in a bucketed dataset (see KeyedState): a batch rewrites
+    the buckets of its own keys alone. Returns the state, whose `read` gives the rows."""
+    state = KeyedState(stream.sparkSession, path, stream.schema, key, at, buckets)
+    state.follow(stream, checkpoint)
+    return state

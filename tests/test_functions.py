@@ -55,22 +55,56 @@ def test_text(spark):
 
 
 def test_quantities():
-    assert quantity.resolve_unit("MW") == ("W", 6) and quantity.resolve_unit("mW") == ("W", -3)
-    assert quantity.resolve_unit("USD_B") == ("USD", 9) and quantity.resolve_unit("USD_X")[0] == quantity.UNSUPPORTED
-    assert quantity.resolve_unit("백만 EUR") == ("EUR", 6) and quantity.resolve_unit("MW (net)") == ("W", 6)
     assert quantity.values("45±2") == [43, 47] and quantity.values("1,200~1,300") == [1200, 1300] and quantity.values("about") is None
+    assert quantity.values(" 4.5E+3 ") == [4500] and quantity.values("−.5") == [Decimal("-0.5")] and quantity.values("") is None and quantity.values("5.") == [5]
     found = quantity.numbers("제25조 has 45조원, $4.5B and 3대 but 3만대")
     assert [(d, v[0]) for _, _, d, v in found] == [("KRW", Decimal("45e12")), ("USD", Decimal("4.5e9")), ("대", 30000)]
+    # a sign before a currency is the first number's
+    assert [v for *_, v in quantity.numbers("-$5±1 million, -$5~10 and -€2")] == [[-6000000, -4000000], [-5, 10], [-2]]
     text = "20 MW (F001) | 30 MW (F002)"
     tags = [m.span() for m in quantity.TAG.finditer(text)]
     assert quantity.bind(text, quantity.numbers(text), tags) == {0: 0, 1: 1}
-    assert quantity.compatible("N", "USD") and not quantity.compatible("W", "USD")
+
+
+UNIT_CASES = [
+    ("MW", "W", 6), ("mW", "W", -3), ("USD_B", "USD", 9), ("EUR million", "EUR", 6), ("백만 EUR", "EUR", 6), ("억원", "KRW", 8), ("USD_X", "UNSUPPORTED", 0), ("%", "PCT", 0),
+    ("MW (net)", "W", 6), ("", None, 0), ("parsec", None, 0), ("usd", "USD", 0), ("ABC_million", "ABC", 6), ("abc", "ABC", 0), ("US$ million", "USD", 6), ("thousand units", "N", 3),
+    ("십억 USD", "USD", 9), ("capacity in MWh", "WH", 6), ("KT", None, 0), ("kt per year", "TON", 3), ("(GW)", None, 0), ("USDT", "UNSUPPORTED", 0), (None, None, 0), ("수주 5건", "건", 0), ("£ billion", "GBP", 9), ("㎿", "W", 6),
+]
+
+
+def test_units(spark):
+    df = spark.createDataFrame([(i, u) for i, (u, *_) in enumerate(UNIT_CASES)], "i int, unit string").withColumn("u", quantity.unit_of("unit")).orderBy("i")
+    got = [(r["unit"], r["u"]["dimension"], r["u"]["power"]) for r in df.collect()]
+    assert got == [case if case[0] != "(GW)" else ("(GW)", "W", 9) for case in UNIT_CASES]
+    pairs = [("N", "USD", True), ("EUR", "N", True), ("N", "N", True), ("N", "W", False), ("USD", "EUR", False), (None, None, True), (None, "W", False), ("W", "W", True)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string, want boolean").withColumn("got", quantity.dimensions_compatible(F.col("a"), F.col("b")))
+    assert df.where("not (got <=> want)").count() == 0
+
+
+GAP_CASES = [
+    ("20 MW and 5 bbl", [("bbl", "failure")]), ("5 parsec", []), ("3 USDX", []), ("B2B in 2020", []), ("5 percent, 7 t", [("percent", "failure"), ("t", "failure")]), ("10 메가와트를", [("메가와트를", "failure")]),
+    ("10 메가와트시장", [("메가와트시장", "warning")]), ("3 그루", [("그루", "warning")]), ("2020년 3월 제5조", []), ("5원 6 원문", [("원문", "warning")]), ("6 원에 7억원", [("원에", "warning")]), ("삼백조원", [("삼백조원", "numeral")]),
+    ("제 12조를", []), ("제12항은", []), ("4개 5개월 6개소", [("개소", "warning")]), ("1,000 bbl 2", [("bbl", "failure")]), ("", []),
+]
+
+
+def test_gaps_of_the_number_grammar(spark):
+    for text, want in GAP_CASES:
+        assert [(u, s) for *_, u, s in quantity.gaps(text)] == want, text
+    df = spark.createDataFrame([(t,) for t, _ in GAP_CASES] + [(None,)], "t string").select(quantity.number_gaps("t").alias("g"))
+    assert [[(g["unit"], g["state"]) for g in r["g"]] for r in df.collect()] == [w for _, w in GAP_CASES] + [[]]
 
 
 def test_growth(spark):
-    check = lambda *v: spark.createDataFrame([v], "a string, b int, c string, d int, e string, f int, g int").select(quantity.check_cagr("a", "b", "c", "d", "e", "f", "g")).first()[0]
-    assert check("100", 2020, "121", 2022, "10", None, None) == "MATCH" and check("100.0", 2020, "121.0", 2022, "12.0", None, None) == "CONFLICT"
-    assert check("100", 2020, "121", 2022, "10", 2019, None) == "NOT_CHECKABLE" and check("-1", 2020, "1", 2022, "10", None, None) == "INVALID_INPUT"
+    cases = [
+        (("100", 2020, "121", 2022, "10", 2020, 2022), "MATCH"), (("100", 2020, "121", 2022, "10", None, None), "NOT_CHECKABLE"), (("100.00", 2020, "160.00", 2025, "10", 2020, 2025), "CONFLICT"),
+        (("100.00", 2020, "160.00", 2025, "9.856", 2020, 2025), "MATCH"), (("100", 2020, "121", 2022, "10", 2019, 2022), "NOT_CHECKABLE"), (("-1", 2020, "1", 2022, "10", 2020, 2022), "INVALID_INPUT"),
+        (("0.4", 2020, "x", 2022, "10", 2020, 2022), "INVALID_INPUT"), (("1", 2022, "2", 2022, "10", 2022, 2022), "INVALID_INPUT"), (("0", 2020, "2", 2022, "10", 2020, 2022), "INVALID_INPUT"), ((None, 2020, "2", 2022, "10", 2020, 2022), "NOT_CHECKABLE"),
+    ]
+    df = spark.createDataFrame([(i, *row) for i, (row, _) in enumerate(cases)], "i int, a string, b int, c string, d int, e string, f int, g int")
+    got = df.select("i", quantity.check_cagr("a", "b", "c", "d", "e", "f", "g").alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in got] == [want for _, want in cases]
 
 
 def test_reports(spark):
