@@ -30,32 +30,39 @@ _CELL = "lang string, source string, shard long, vector binary, terms array<stru
 
 
 def count_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """lang, source, term, n (occurrences), docs (rows that have it) over all whole texts."""
+    """lang, source, term, n (occurrences) over all whole texts, and for each term of a language
+    a row with a null source: n of all its sources, docs the rows that have it."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
 
-    def flush(total: dict[tuple, Counter], rows: dict[tuple, Counter]):
+    def rows_of(lang: str, source: str | None, n: Counter, seen: Counter | None) -> pa.RecordBatch:
+        docs = pa.nulls(len(n), pa.int64()) if seen is None else pa.array([seen[t] for t in n], pa.int64())
+        terms = pa.array(list(n), pa.binary()).cast(pa.string())
+        columns = [pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)), terms, pa.array(n.values(), pa.int64()), docs]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+    def flush(total: dict[tuple, Counter], seen: dict[str, Counter]):
+        whole: dict[str, Counter] = {}
         for (lang, source), n in total.items():
-            seen = rows[lang, source]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array([t.decode() for t in n], pa.string()), pa.array(n.values(), pa.int64()), pa.array([seen[t] for t in n], pa.int64())],
-                ["lang", "source", "term", "n", "docs"],
-            )
+            whole.setdefault(lang, Counter()).update(n)
+            yield rows_of(lang, source, n, None)
+        for lang, n in whole.items():
+            yield rows_of(lang, None, n, seen[lang])
         total.clear()
-        rows.clear()
+        seen.clear()
 
     def run(batches):
         total: dict[tuple, Counter] = {}
-        rows: dict[tuple, Counter] = {}
+        seen: dict[str, Counter] = {}
         for part in scan.slices(batches, "text"):
             for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 terms = Counter(text.encode().translate(_TABLE).split())
                 if (lang, source) not in total:
-                    total[lang, source], rows[lang, source] = Counter(), Counter()
+                    total[lang, source] = Counter()
                 total[lang, source].update(terms)
-                rows[lang, source].update(terms.keys())
+                seen.setdefault(lang, Counter()).update(terms.keys())
             if sum(len(n) for n in total.values()) > HELD:
-                yield from flush(total, rows)
-        yield from flush(total, rows)
+                yield from flush(total, seen)
+        yield from flush(total, seen)
 
     counted = docs.select(*named).where("text <> ''").mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -187,7 +194,7 @@ def audit_sources(docs: DataFrame, lang_col: str = "lang", source_col: str = "so
     """
     counts = written(count_terms(docs, lang_col, source_col, text_col))
     groups = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).distinct()
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    kept = counts.where(F.col("source").isNull() & (F.col("docs") >= min_docs)).select("lang", "term", F.col("n").alias("lang_n"))
     langs = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_sum"), F.count(F.lit(1)).alias("kept"))
     shards = F.ceil(F.col("kept") / shard_terms).cast("bigint")
     # ids within a shard, which is as large as shard_terms allows
@@ -196,7 +203,7 @@ def audit_sources(docs: DataFrame, lang_col: str = "lang", source_col: str = "so
     terms = written(terms.select("lang", "term", "lang_n", "shard", (F.row_number().over(in_shard.orderBy("term")) - 1).cast("bigint").alias("id")))
     sizes = written(terms.groupBy("lang", "shard").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_n")))
     langs = sizes.groupBy("lang").agg(F.sum("lang_n").alias("lang_sum"), F.sum("terms").alias("kept"))
-    rows = written(counts.join(terms, ["lang", "term"]).select("lang", "source", "shard", "id", "term", "n", "lang_n"))
+    rows = written(counts.where("source is not null").join(terms, ["lang", "term"]).select("lang", "source", "shard", "id", "term", "n", "lang_n"))
     sums = rows.groupBy("lang", "source").agg(F.sum("n").alias("source_sum"))
     by_lang = Window.partitionBy("lang")
     players = F.col("sources") + F.col("sources") % 2
