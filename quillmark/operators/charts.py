@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators import ordering
+from quillmark.operators import ordering, selection
 
 
 def _w(by: list[str]) -> Window:
@@ -136,15 +136,14 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, ps: list[float], by: list[str] = []) -> DataFrame:  # noqa: B006
-    """by, p, q: exact, linearly interpolated."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in ps])).alias("_q"))
-    return q.select(*by, F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.col("_q").alias("q"))).alias("x")).select(*by, "x.p", "x.q")
+    """by, p, q: exact, linearly interpolated; see selection for groups of any size."""
+    q = selection.order_statistics(df, value, {f"q{i}": ("at", p) for i, p in enumerate(ps)}, by)
+    return q.select(*by, F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"q{i}").alias("q")) for i, p in enumerate(ps)])).alias("x")).select(*by, "x.p", "x.q")
 
 
 def boxplot(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """q1, median, q3, whiskers (the farthest rows within 1.5 times the box), n and outliers."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    box = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    box = selection.order_statistics(df, value, {"q1": ("at", 0.25), "median": ("at", 0.5), "q3": ("at", 0.75)}, by).drop("n")
     rows = df.select(*by, value).join(box, by) if by else df.select(value).crossJoin(F.broadcast(box))
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
@@ -157,13 +156,10 @@ def bandwidth(df: DataFrame, value: str, by: list[str], population: bool = False
     """by, bandwidth: 1.06 min(sd, IQR / 1.34) n^-0.2. population: population deviation and
     quartiles by index instead of sample deviation and interpolation."""
     sd = F.stddev_pop(value) if population else F.stddev_samp(value)
-    n = F.count(value)
-    if population:
-        ordered = df.where(F.col(value).isNotNull()).withColumns({"_rn": F.row_number().over(_w(by).orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(_w(by))})
-        pick = lambda p: F.max(F.when(F.col("_rn") == F.floor(F.col("_n") * p), F.col(value)))
-        base = ordered.groupBy(*by).agg(sd.alias("_sd"), n.alias("_n"), (pick(0.75) - pick(0.25)).alias("_iqr"))
-    else:
-        base = df.groupBy(*by).agg(sd.alias("_sd"), n.alias("_n"), (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("_iqr"))
+    kind = "index" if population else "at"
+    box = selection.order_statistics(df, value, {"_lo": (kind, 0.25), "_hi": (kind, 0.75)}, by).drop("n")
+    base = df.groupBy(*by).agg(sd.alias("_sd"), F.count(value).alias("_n"))
+    base = (base.join(box, by) if by else base.join(F.broadcast(box))).withColumn("_iqr", F.col("_hi") - F.col("_lo"))
     spread = F.when(F.col("_iqr") > 0, F.least("_sd", F.col("_iqr") / 1.34)).otherwise(F.col("_sd"))
     return base.select(*by, (1.06 * spread * F.pow("_n", F.lit(-0.2))).alias("bandwidth"))
 
