@@ -37,7 +37,7 @@ def count_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
         for (lang, source), n in total.items():
             seen = rows[lang, source]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array([t.decode() for t in n], pa.string()), pa.array(n.values(), pa.int64()), pa.array([seen[t] for t in n], pa.int64())],
+                [*(pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in (lang, source)), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([seen[t] for t in n], pa.int64())],
                 ["lang", "source", "term", "n", "docs"],
             )
         total.clear()
@@ -48,11 +48,12 @@ def count_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
         rows: dict[tuple, Counter] = {}
         for part in scan.slices(batches, "text"):
             for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                terms = Counter(text.encode().translate(_TABLE).split())
+                terms = text.encode().translate(_TABLE).split()
                 if (lang, source) not in total:
                     total[lang, source], rows[lang, source] = Counter(), Counter()
+                # lists and sets are counted in C, mappings aren't
                 total[lang, source].update(terms)
-                rows[lang, source].update(terms.keys())
+                rows[lang, source].update(set(terms))
             if sum(len(n) for n in total.values()) > HELD:
                 yield from flush(total, rows)
         yield from flush(total, rows)
