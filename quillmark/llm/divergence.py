@@ -22,6 +22,8 @@ STEPS, STEP = 3, 1000
 SHARD_TERMS = 1 << 16
 #: Rounds of a tournament per job: a vector travels to half as many others at a time.
 ROUNDS = 32
+#: Languages (a name and two numbers each) that are broadcast at most.
+MOST_LANGS = 10_000
 #: Distinct terms a task holds before it hands their counts on.
 HELD = 200_000
 
@@ -191,9 +193,12 @@ def audit_sources(docs: DataFrame, lang_col: str = "lang", source_col: str = "so
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
     langs = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_sum"), F.count(F.lit(1)).alias("kept"))
     shards = F.ceil(F.col("kept") / shard_terms).cast("bigint")
-    # ids within a shard, which is as large as shard_terms allows
+    # ids within a shard, which is as large as shard_terms allows. A join that shuffles would deal
+    # the terms by language alone; languages are sent to all tasks if they are as few as they should be
     in_shard = Window.partitionBy("lang", "shard")
-    terms = kept.join(langs, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), shards))
+    langs = written(langs)
+    few = langs.limit(MOST_LANGS + 1).count() <= MOST_LANGS
+    terms = (kept.join(F.broadcast(langs), "lang") if few else kept.join(langs, "lang").repartition("lang", "term")).withColumn("shard", F.pmod(F.xxhash64("term"), shards))
     terms = written(terms.select("lang", "term", "lang_n", "shard", (F.row_number().over(in_shard.orderBy("term")) - 1).cast("bigint").alias("id")))
     sizes = written(terms.groupBy("lang", "shard").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_n")))
     langs = sizes.groupBy("lang").agg(F.sum("lang_n").alias("lang_sum"), F.sum("terms").alias("kept"))
