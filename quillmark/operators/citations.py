@@ -73,7 +73,8 @@ def patent_record(url: Column, html: Column) -> Column:
 
 def page_record(html: Column) -> Column:
     """A page's record: its citation or sharing title, else its title without the site's name."""
-    title = F.coalesce(F.try_element_at(meta_values(html, *TITLE_FIELDS), F.lit(1)), F.nullif(refs.page_title(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")))
+    found = F.concat(meta_values(html, *TITLE_FIELDS), F.array(refs.page_title(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))))
+    title = F.nullif(found[0], F.lit(""))
     year = F.nullif(F.regexp_extract(F.array_join(meta_values(html, "citation_publication_date", "article:published_time"), " "), r"(?<!\d)(19[89]\d|20[0-2]\d)(?!\d)", 1), F.lit(""))
     return F.when(title.isNotNull(), _record("web", collapse(title), F.transform(meta_values(html, "citation_author"), refs.initials), F.coalesce(year, F.lit("n.d.")), F.try_element_at(meta_values(html, "og:site_name"), F.lit(1))))
 
@@ -123,10 +124,10 @@ def resolved(pages: DataFrame, manual: DataFrame | None = None, registries: list
         offer(openalex.select("url", "record").join(pages.where(host.isin("api.openalex.org", "openalex.org")), "url", "left_semi").where("coalesce(record.title, '') <> ''"), "openalex", F.lit(0))
     search = F.when(host.isin("api.openalex.org", "openalex.org") & url.contains("?"), _record("web", F.concat(F.lit("OpenAlex API 검색 결과: "), F.substring(F.try_url_decode(F.substring_index(url, "?", -1)), 1, 90)), F.array(F.lit("OpenAlex")), F.lit("n.d.")))
     for src, record in (("search", search), ("patent", F.when(url.contains("patents.google.com") & url.contains("/patent/"), patent_record(url, html))), ("page", page_record(html))):
-        offer(pages.select("url", record.alias("record")).where("record is not null"), src, F.lit(0))
+        offer(pages.select("url", record.alias("record")).where("record.kind is not null"), src, F.lit(0))
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    won = every.groupBy("url").agg(F.min(F.struct("at", "record")).alias("_b"))
     src = F.element_at(F.array(*map(F.lit, ORDER)), F.col("_b.at.rank") + 1)
-    return pages.select("url").join(won, "url", "left").select("url", src.alias("src"), F.col("_b.record").alias("record"))
+    won = every.groupBy("url").agg(F.min(F.struct("at", "record")).alias("_b")).select("url", src.alias("src"), F.col("_b.record").alias("record"))
+    return pages.select("url").join(won, "url", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,36 +13,8 @@ RANK_TYPES = ("Rank",)
 DISCRETE = ("nominal", "ordinal")
 
 
-def sort_rule(channel: str, kind: str, sort_by: str | None = None, sort_order: str | None = None, colour: bool = False, numeric: bool = False, canonical: list | None = None) -> tuple[str, list | None]:
-    """(rule, values) of the order of a channel's categories.
-
-    rule is one of: data (as they arrive), ascending, descending (by themselves), x, -x, y, -y,
-    color, -color (by that channel's value, - for falling) and list (the values given). Without
-    a wish, discrete channels take the canonical order of their semantic type, numbers their
-    own; a wish by another channel falls unless it is asked to rise."""
-    falling, rising = sort_order == "descending", sort_order == "ascending"
-    if not sort_by and not sort_order:
-        if kind not in DISCRETE:
-            return "data", None
-        return ("list", list(canonical)) if canonical else ("ascending" if numeric else "data", None)
-    if not sort_by:
-        return sort_order, None
-    if sort_by in ("x", "y"):
-        minus = falling if sort_by == channel else not rising
-        return ("-" if minus else "") + sort_by, None
-    if sort_by == "color":
-        return (("" if rising else "-") + "color", None) if colour else ("data", None)
-    if kind == "temporal":
-        return "data", None
-    try:
-        values = json.loads(sort_by)
-    except ValueError:
-        return "data", None
-    return "list", values[::-1] if sort_order and not rising else values
-
-
 def ordered_categories(df: DataFrame, category: str, rule: str, values: list | None = None, measure: str | None = None, arrival: str | None = None) -> DataFrame:
-    """category and place (from 1) by a rule of sort_rule: values listed come first, in that
+    """category and place (from 1) by a rule of options.sort_rules: values listed come first, in that
     order; measured orders take the sum of the measure; data takes the first arrival. Ties are
     broken by the category. Categories of a chart are few, once they are grouped."""
     found = df.where(F.col(category).isNotNull()).groupBy(category).agg((F.sum(measure) if measure else F.lit(0.0)).alias("_sum"), (F.min(arrival) if arrival else F.lit(0)).alias("_first"))

@@ -49,6 +49,6 @@ def order_statistics(df: DataFrame, value: str, wanted: dict[str, tuple], by: li
     between = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a place lies outside its bounds")).cast("double")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - first))
     found = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, between)).alias(name) for i, name in enumerate(names)])
     found = found.select(*[F.col(k).alias(f"{k}b") for k in keys], *names)
-    every = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.when(~F.isnan(F.col(value).cast("double")), 1).alias("_one")).groupBy(*keys).agg(F.count("_one").alias("n"))
+    every = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), 1).alias("_one")).groupBy(*keys).agg(F.count("_one").alias("n"))
     out = every.join(found, same, "left") if keys else every.join(F.broadcast(found), F.lit(True), "left")
     return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", *names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.functions.text import clean_line, collapse
+from quillmark.operators.quotes import contained_quotes
 
 WINDOW_LINES = 40
 
@@ -20,96 +22,64 @@ def quote_key(text: Column, size: int = 8) -> Column:
     return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, size), " ")
 
 
-def _grams(words: Column) -> Column:
-    """A hash of every six consecutive words: of pairs, of pairs of pairs, and a pair more."""
-    rest = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))
-    join = lambda a, b: F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: F.xxhash64(x, y))
-    pairs = join(words, rest(words, 1))
-    return join(join(pairs, rest(pairs, 2)), rest(pairs, 4))
-
-
-#: Words of a quote that are looked up together.
-GRAM = 6
-
-
-def contained_quotes(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str) -> DataFrame:
-    """quote_id, doc_id where the document's text contains the quote's text, byte for byte.
-
-    Words inside a quote (without the first and last, which may be cut) are looked up in the
-    documents in an equi-join, GRAM of them, or one of a shorter quote; then the text is
-    compared. A quote of one or two words has no word inside and is looked up by its characters:
-    a quote of four or more has a key of four of them, a shorter one is compared with every
-    text. What is shuffled are keys, not pairs; a few quotes' keys are broadcast, if Spark finds
-    them small."""
-    trimmed = lambda c: F.trim(c, F.lit(" \t\n\r\x0b\x0c"))
-    words = lambda c: F.split(trimmed(c), r"\s+")
-    q = quotes.select(F.col(quote_id).alias("_q"), F.col("text").alias("_quote"), words(F.col("text")).alias("_w")).where("_quote is not null")
-    d = documents.select(F.col(doc_id).alias("_d"), F.col("text").alias("_text")).where("_text is not null")
-    inner, n = F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))), F.size("_w") - 2
-    whole, found = q.select("_q", "_quote", inner.alias("_w"), n.alias("_n")), []
-    text = words(F.col("_text"))
-    lookups = (
-        (whole.where(F.col("_n") >= GRAM), lambda w: _grams(w), lambda w: F.get(_grams(w), F.lit(0))),
-        (whole.where(F.col("_n").between(1, GRAM - 1)), lambda w: F.transform(w, lambda x: F.xxhash64(x)), lambda w: F.xxhash64(F.get(w, F.lit(0)))),
-    )
-    for some, every, one in lookups:
-        if some.isEmpty():
-            continue
-        keyed = some.select("_q", "_quote", one(F.col("_w")).alias("_key"))
-        places = d.select("_d", F.explode(every(text)).alias("_key")).join(keyed.select("_key").distinct(), "_key", "left_semi").distinct()
-        hits = places.join(keyed, "_key").select("_q", "_quote", "_d")
-        found.append(hits.join(d, "_d").where(F.contains("_text", F.col("_quote"))).select("_q", "_d"))
-    tiny = q.where(F.size("_w") <= 2)
-    if not tiny.isEmpty():
-        key = lambda c, i: F.substring(c, i, 4)
-        four = tiny.where(F.length("_quote") >= 4).select("_q", "_quote", key(F.col("_quote"), 1).alias("_key"))
-        places = d.where(F.length("_text") >= 4).select("_d", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_text") - 3), lambda i: F.col("_text").substr(i, F.lit(4))))).alias("_key"))
-        hits = places.join(four, "_key").select("_q", "_quote", "_d")
-        found.append(hits.join(d, "_d").where(F.contains("_text", F.col("_quote"))).select("_q", "_d"))
-        for r in tiny.where(F.length("_quote") < 4).select("_quote").distinct().collect():  # texts of three characters at most
-            same = tiny.where(F.col("_quote") == r[0]).select("_q")
-            found.append(d.where(F.contains("_text", F.lit(r[0]))).select("_d").crossJoin(same).select("_q", "_d"))
-    out = found[0] if found else q.select("_q").limit(0).crossJoin(d.select("_d").limit(0))
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select(F.col("_q").alias(quote_id), F.col("_d").alias(doc_id))
-
-
 def _fragments(quote: str) -> list[str]:
     return [f for f in (" ".join(p.split()) for p in re.split(r"…|\.\.\.", quote)) if f]
 
 
-def _inside(text: str, fragments: list[str]) -> bool:
-    """All fragments in order; a fragment that starts or ends with a digit isn't cut out of a
-    longer number."""
-    at = 0
-    for f in fragments:
-        while True:
-            i = text.find(f, at)
-            if i < 0:
-                return False
-            before, after = text[max(0, i - 2) : i], text[i + len(f) : i + len(f) + 2]
-            cut = (f[0].isdigit() and re.search(r"\d$|\d[.,]$", before)) or (f[-1].isdigit() and re.match(r"\d|[.,]\d", after))
-            if not cut:
-                at = i + len(f)
-                break
-            at = i + 1
-    return True
+def _places(text: str, fragment: str) -> list[int]:
+    """Where a fragment stands; one that starts or ends with a digit isn't cut out of a longer
+    number."""
+    out, i = [], text.find(fragment)
+    while i >= 0:
+        end = i + len(fragment)
+        before, after = text[max(0, i - 2) : i], text[end : end + 2]
+        cut = (fragment[0].isdigit() and re.search(r"\d$|\d[.,]$", before)) or (fragment[-1].isdigit() and re.match(r"\d|[.,]\d", after))
+        if not cut:
+            out.append(i)
+        i = text.find(fragment, i + 1)
+    return out
 
 
 def find_span(lines: list[str], quote: str, most: int = WINDOW_LINES) -> tuple[int, int] | None:
     """(line, end), counted from 1, of the smallest window of lines that has the quote: the
-    earliest end wins for the earliest start, then the start is moved up as far as it goes."""
+    earliest end wins for the earliest start, then the start is moved up as far as it goes.
+
+    Fragments are looked for once in the joined lines. From each place of the first one, the next
+    places of the others give the earliest end, so the work is linear in the text and in the
+    places of fragments, however many windows there are."""
     fragments = _fragments(quote)
     if not fragments:
         return None
-    clean = [" ".join(re.sub(r"^\s*(?:[-*+•·]|\d+[.)])\s+", "", x).split()) for x in lines]
-    for a in range(len(clean)):
-        for b in range(a, min(len(clean), a + most)):
-            if _inside(" ".join(x for x in clean[a : b + 1] if x), fragments):
-                while a < b and _inside(" ".join(x for x in clean[a + 1 : b + 1] if x), fragments):
-                    a += 1
-                return a + 1, b + 1
+    parts, starts, numbers, size = [], [], [], 0
+    for n, x in enumerate(lines):
+        clean = " ".join(re.sub(r"^\s*(?:[-*+•·]|\d+[.)])\s+", "", x).split())
+        if clean:
+            starts.append(size)
+            numbers.append(n)
+            parts.append(clean)
+            size += len(clean) + 1
+    text = " ".join(parts)
+    places = [_places(text, f) for f in fragments]
+    line = lambda at: numbers[bisect_right(starts, at) - 1]
+    ends = []
+    for first in places[0]:
+        at = first + len(fragments[0])
+        for f, found in zip(fragments[1:], places[1:], strict=True):
+            k = bisect_left(found, at)
+            if k == len(found):
+                break
+            at = found[k] + len(f)
+        else:
+            ends.append(at)
+            continue
+        break  # what comes later has no end either
+    before = -1
+    for first, end in zip(places[0], ends, strict=False):
+        last = line(end - 1)
+        if max(before + 1, last - most + 1) <= line(first):
+            at = max(first for first, e in zip(places[0], ends, strict=False) if line(e - 1) <= last)
+            return line(at) + 1, last + 1
+        before = line(first)
     return None
 
 

@@ -102,7 +102,7 @@ def blocks(numbered: DataFrame, key: str) -> DataFrame:
     before = F.last("event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns(
         {
-            "source_line": (F.col("kind") == "note") & (before == "table"),
+            "source_line": (F.col("kind") == "note") & F.coalesce(before == "table", F.lit(False)),
             "tables": F.sum(F.col("opens").cast("int")).over(so_far),
             "images": F.sum((F.col("kind") == "image").cast("int")).over(so_far),
         }

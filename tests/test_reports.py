@@ -1,12 +1,15 @@
 """Orders by ranges, chart encodings, report checks, quotes in documents."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import decode
 from quillmark.operators import charts, encodings, ordering, reports, spans
+from quillmark.operators import quotes as quotes_module
 
 
 def test_places_and_sums_by_ranges(spark):
@@ -52,11 +55,70 @@ def test_quotes_of_all_lengths(spark):
         quotes.append((i, text[a : a + rng.randint(0, 70)]))
     quotes += [(100, "not there at all in any of these texts"), (101, None), (102, "b"), (103, "ab"), (104, "")]
     want = sorted((q, d) for q, t in quotes if t is not None for d, u in docs if u is not None and t in u)
-    got = spans.contained_quotes(spark.createDataFrame(quotes, "q long, text string"), spark.createDataFrame(docs, "d long, text string"), "q", "d")
-    assert sorted((r.q, r.d) for r in got.collect()) == want
+    quotes.append((5, quotes[5][1]))
+    want = sorted(want + [p for p in want if p[0] == 5])
+    frames = spark.createDataFrame(quotes, "q long, text string"), spark.createDataFrame(docs, "d long, text string")
+    # all by broadcast, by joins and blocks, and by blocks of a few texts
+    for most in (1 << 20, 400, 60):
+        got = spans.contained_quotes(*frames, "q", "d", most)
+        assert sorted((r.q, r.d) for r in got.collect()) == want
     assert spans.contained_quotes(spark.createDataFrame([], "q long, text string"), spark.createDataFrame(docs, "d long, text string"), "q", "d").count() == 0
 
 
+def test_sampled_windows_meet():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = bytes(rng.choice(b"ab ") for _ in range(rng.randint(31, 400)))
+        a = rng.randrange(len(text) - 30)
+        part = text[a : rng.randint(a + 31, len(text))]
+        keys = [quotes_module.window_keys(np.frombuffer(x, np.uint8), quotes_module.KEY) for x in (text, part)]
+        mine, theirs = ({*k[quotes_module._sampled(k, quotes_module.SPREAD)].tolist()} for k in (keys[1], keys[0]))
+        assert mine and mine <= theirs
+
+
+def plain_inside(text, fragments):
+    at = 0
+    for f in fragments:
+        while True:
+            i = text.find(f, at)
+            if i < 0:
+                return False
+            before, after = text[max(0, i - 2) : i], text[i + len(f) : i + len(f) + 2]
+            if not ((f[0].isdigit() and re.search(r"\d$|\d[.,]$", before)) or (f[-1].isdigit() and re.match(r"\d|[.,]\d", after))):
+                at = i + len(f)
+                break
+            at = i + 1
+    return True
+
+
+def plain_span(lines, quote, most):
+    """Every window of lines, one after the other."""
+    fragments = spans._fragments(quote)
+    clean = [" ".join(re.sub(r"^\s*(?:[-*+•·]|\d+[.)])\s+", "", x).split()) for x in lines]
+    joined = lambda a, b: " ".join(x for x in clean[a : b + 1] if x)
+    for a in range(len(clean)):
+        for b in range(a, min(len(clean), a + most)):
+            if fragments and plain_inside(joined(a, b), fragments):
+                while a < b and plain_inside(joined(a + 1, b), fragments):
+                    a += 1
+                return a + 1, b + 1
+    return None
+
+
+def test_spans_of_random_quotes():
+    rng = random.Random(6)
+    words = ["a", "b", "1", "12", "2.5", "", "- a", "b a", "3) b", "1,2"]
+    found = 0
+    for _ in range(4000):
+        lines = [rng.choice([" ", "  "]).join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 12))]
+        quote = rng.choice([" … ", "...", " "]).join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+        most = rng.choice([1, 2, 3, 40])
+        want = plain_span(lines, quote, most)
+        assert spans.find_span(lines, quote, most) == want, (lines, quote, most)
+        found += want is not None
+    assert found > 500
+
+
 def test_files_and_charsets(spark):
     raw = spark.createDataFrame([(bytearray("가나".encode("euc-kr")),), (bytearray("é".encode()),), (bytearray(b"\xff"),), (None,)], "b binary")
     got = [r[0] for r in raw.select(decode.file_text("b")).collect()]
