@@ -19,7 +19,7 @@ TOP = 200
 #: that no product leaves 64 bits for languages of up to 9 * 10^15 occurrences.
 STEPS, STEP = 3, 1000
 #: Terms of a shard of a language's vocabulary: what one vector may hold.
-SHARD_TERMS = 1 << 16
+SHARD_TERMS = 1 << 14
 #: Rounds of a tournament per job: a vector travels to half as many others at a time.
 ROUNDS = 32
 #: Languages (a name and two numbers each) that are broadcast at most.
