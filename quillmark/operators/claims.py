@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,12 +114,24 @@ def high_risk_untagged(facts: DataFrame, terms: list[str]) -> DataFrame:
     return facts.where(F.lower("metric").rlike("|".join(terms)) & ~F.col("risk").eqNullSafe("high"))
 
 
+#: What a growth rate is recomputed from.
+ATOMIC_INPUTS = ("base_value", "base_year", "forecast_value", "forecast_year", "reported_cagr", "cagr_start_year", "cagr_end_year")
+
+
 def calculation_candidates(facts: DataFrame) -> DataFrame:
-    """Facts whose growth rate can be checked: atomic inputs are there, or the metric or claim
-    speaks of a rate or of two years."""
-    atoms = F.col("base_value").isNotNull() & F.col("forecast_value").isNotNull()
-    words = F.concat_ws(" ", "metric", "claim").rlike(r"(?i)cagr|연평균|compound annual|(?:19|20)\d{2}\s*(?:년)?\s*(?:→|~|-|–|to|에서)\s*(?:19|20)\d{2}")
-    return facts.where(atoms | words)
+    """Facts whose growth is to be checked: any atomic input is there, the text speaks of a
+    compound rate, a period of two years isn't observed (basis actual), or a forecast is about a
+    market. facts: claim, raw, metric, period, basis and the ATOMIC_INPUTS that there are."""
+    atoms = [F.col(c).isNotNull() for c in ATOMIC_INPUTS if c in facts.columns]
+    text = F.concat_ws(" ", "claim", "raw", "metric", "period")
+    period = r"(?i)(?<!\d)(?:19|20)\d{2}\s*년?\s*(?:→|->|~|–|-|부터|to)\s*(?:19|20)\d{2}(?!\d)"
+    rules = [
+        reduce(or_, atoms, F.lit(False)),
+        text.rlike(r"(?i)CAGR|연평균.*성장"),
+        text.rlike(period) & ~F.col("basis").eqNullSafe("actual"),
+        F.col("basis").eqNullSafe("forecast") & F.coalesce(F.lower("metric").rlike("market|시장"), F.lit(False)),
+    ]
+    return facts.where(reduce(or_, rules))
 
 
 def sidecar_issues(drawn: DataFrame, facts: DataFrame, captions: DataFrame) -> DataFrame:
@@ -170,17 +185,41 @@ def figure_issues(figures: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("path", F.explode(issues).alias("issue"))
 
 
-def svg_issues(figures: DataFrame, most_bars: int = 20) -> DataFrame:
-    """path, issue of SVG texts (path, svg): small type, no title or description, no fact ids,
-    outside links, too many bars."""
+# Points of a length unit (no unit is px), the smallest type, and Korean fonts.
+POINTS = {"pt": 1.0, "px": 0.75, "em": 12.0, "": 0.75}
+LEAST_POINTS, MOST_BARS = 9.0, 20
+KOREAN_FONTS = r"(?i)font-family[=:]\s*[\"']?[^;\">]*(?:Malgun Gothic|Noto Sans KR|맑은 고딕)"
+
+
+def svg_issues(figures: DataFrame) -> DataFrame:
+    """path, issue of drawings (path, svg, chart_type, fact_ids: the sidecar's, null where a
+    drawing has no sidecar): type below nine points, no title or description, the first line's
+    fact comment missing or unlike the sidecar's ids, outside links, no Korean font, too many
+    bars. Bars are the paths of bar groups, else rectangles that aren't the background; they
+    count for plain bar charts (and where the type isn't known) alone."""
     s = F.col("svg")
-    small = F.exists(F.regexp_extract_all(s, F.lit(r"font-size[=:]\s*[\"']?([\d.]+)"), F.lit(1)), lambda x: x.try_cast("double") < 9)
+    sizes = F.regexp_extract_all(s, F.lit(r"font-size[=:]\s*[\"']?\s*([\d.]+)\s*(?:px|pt|em)?"), F.lit(1))
+    units = F.regexp_extract_all(s, F.lit(r"font-size[=:]\s*[\"']?\s*[\d.]+\s*(px|pt|em)?"), F.lit(1))
+    factor = F.create_map(*[F.lit(x) for kv in POINTS.items() for x in kv])
+    small = F.exists(F.zip_with(sizes, units, lambda v, u: v.try_cast("double") * factor[F.coalesce(u, F.lit(""))]), lambda pt: F.coalesce(pt < LEAST_POINTS, F.lit(False)))
+    comment = F.regexp_extract(F.substring_index(s, "\n", 1), r"<!--\s*FACTS:\s*([^>]*?)\s*-->", 1)
+    marked = F.substring_index(s, "\n", 1).rlike(r"<!--\s*FACTS:\s*[^>]*?\s*-->")
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(comment, ","), lambda x: F.trim(x)), lambda x: x != "")))
+    listed = F.array_sort(F.array_distinct("fact_ids"))
+    groups = F.regexp_extract_all(s, F.lit(r"(?s)<g class=\"mark-rect[^\"]*\"[^>]*>(.*?)</g>"), F.lit(1))
+    paths = F.aggregate(groups, F.lit(0), lambda n, g: n + F.size(F.regexp_extract_all(g, F.lit("<path"), F.lit(0))))
+    rects = F.size(F.regexp_extract_all(s, F.lit(r"<rect(?![^>]*width=\"100%\")"), F.lit(0)))
+    bars = F.when(paths > 0, paths).otherwise(rects)
     issues = F.array_compact(
         F.array(
-            F.when(small, "small type"), F.when(~s.rlike("(?i)<title[ >]"), "no title"), F.when(~s.rlike("(?i)<desc[ >]"), "no description"), F.when(~s.rlike(r"<!--\s*FACTS:"), "no fact ids"),
-            F.when(s.rlike(r"(?i)(?:xlink:)?href=[\"']https?://"), "outside link"), F.when(F.size(F.regexp_extract_all(s, F.lit(r"(?i)<rect\b"), F.lit(0))) > most_bars, "too many bars"),
+            F.when(small, "small type"),
+            F.when(~(s.rlike(r"(?s)<title>.+?</title>") & s.rlike(r"(?s)<desc>.+?</desc>")), "no title or description"),
+            F.when(F.col("fact_ids").isNotNull() & (ids != listed), "fact ids differ").when(F.col("fact_ids").isNull() & ~marked, "no fact ids"),
+            F.when(s.rlike(r"(?i)(?:href|url\()\s*=?\s*[\"']?\s*https?:"), "outside link"),
+            F.when(~s.rlike(KOREAN_FONTS), "no Korean font"),
+            F.when(F.coalesce("chart_type", F.lit("bar")).isin("bar", "hbar") & (bars > MOST_BARS), "too many bars"),
         )
-    )
+    )
     return figures.select("path", F.explode(issues).alias("issue"))
 
 

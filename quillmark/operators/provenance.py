@@ -43,8 +43,7 @@ def receipt_issues(receipts: DataFrame, states: DataFrame, order: list[str], rev
 
     receipts: gate, seq, receipt_id, exit, revision_id, research_plan_sha256 and
     prerequisite_receipts (gate -> receipt id). states: reference_states of all. order: gates
-    from the first to the last; a prerequisite's own issues pass on down the line, one join per
-    gate of the fixed line."""
+    from the first to the last; a prerequisite's own issues pass on down the line."""
     last = latest_receipts(receipts)
     bad_refs = states.where("state <> 'current'").groupBy("receipt_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("ref_"), F.col("state")))).alias("_refs"))
     ids = last.select(F.col("gate").alias("need"), F.col("receipt_id").alias("_now"))
@@ -60,10 +59,18 @@ def receipt_issues(receipts: DataFrame, states: DataFrame, order: list[str], rev
     )
     out = last.join(bad_refs, "receipt_id", "left").join(stale, "gate", "left")
     out = out.withColumn("issues", F.concat(own, F.coalesce("_refs", none), F.coalesce("_stale", none))).drop("_refs", "_stale")
-    for gate in order:
-        broken = out.where(F.size("issues") > 0).select(F.col("gate").alias("need"))
-        down = needs.where(F.col("gate") == gate).join(broken, "need").groupBy("gate").agg(F.sort_array(F.collect_set(F.concat(F.lit("below_"), F.col("need")))).alias("_down"))
-        out = out.join(down, "gate", "left").withColumn("issues", F.array_union("issues", F.coalesce("_down", none))).drop("_down")
+    needed = needs.groupBy("gate").agg(F.sort_array(F.collect_set("need")).alias("_needs"))
+    out = out.join(needed, "gate", "left").withColumn("_needs", F.coalesce("_needs", none))
+    # gates are few and fixed, so one row holds what each needs, and a fold over their line finds
+    # all that stand below a broken one
+    own_broken = F.collect_list(F.when(F.size("issues") > 0, F.col("gate")))
+    by_gate = F.map_from_entries(F.collect_list(F.struct("gate", "_needs")))
+    line = F.array(*map(F.lit, order)) if order else none
+    pass_on = lambda broken, gate: F.when(F.arrays_overlap(F.coalesce(F.try_element_at(F.col("_all"), gate), none), broken), F.array_union(broken, F.array(gate))).otherwise(broken)
+    broken = out.agg(own_broken.alias("_own"), by_gate.alias("_all")).select(F.aggregate(line, F.col("_own"), pass_on).alias("_broken"))
+    out = out.crossJoin(F.broadcast(broken))  # one row
+    below = F.transform(F.array_intersect("_needs", "_broken"), lambda g: F.concat(F.lit("below_"), g))
+    out = out.withColumn("issues", F.array_union("issues", below)).drop("_needs", "_broken")
     return out.withColumn("ok", F.size("issues") == 0)
 
 

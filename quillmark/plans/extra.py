@@ -1,8 +1,7 @@
-"""Queries over literal rows, text structures, and streams."""
+"""Queries over text structures and streams."""
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
@@ -10,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.catalog import table
-from quillmark.functions import quantity, refs, semantics
+from quillmark.functions import refs
 from quillmark.functions import text as tx
-from quillmark.operators import logs, ordering, provenance, rules, spans
-from quillmark.plans.cases import expected
+from quillmark.operators import logs, ordering, spans
 from quillmark.sources import html, markdown
 from quillmark.streaming import logs as streams
 
@@ -31,66 +29,6 @@ def query(sql: str | None = None):
     return put
 
 
-FACT_SCHEMA = {
-    "required": ["id", "claim", "status"],
-    "additionalProperties": False,
-    "properties": {
-        "id": {"type": "string", "pattern": r"F\d{3,}"},
-        "claim": {"type": "string"},
-        "status": {"type": "string", "enum_ref": "status"},
-        "observed_at": {"type": ["string", "null"], "format": "iso-time"},
-        "schema_version": {"type": "integer"},
-        "context": {"type": "object", "required": ["metric"], "properties": {"metric": {"type": "string"}, "year": {"type": "integer"}}},
-        "evidence_ids": {"type": "array", "minItems": 1},
-    },
-}
-ENUMS = {"status": ["draft", "confirmed", "disputed", "discarded"]}
-FACTS = [
-    {"id": "F001", "claim": "a", "status": "confirmed", "evidence_ids": ["E001"], "context": {"metric": "m", "year": 2020}},
-    {"id": "F1", "claim": " ", "status": "draft"},
-    {"id": "F003", "claim": "c", "status": "sure", "observed_at": "2020-13", "schema_version": True},
-    {"id": "F004", "status": "draft", "extra": 1, "evidence_ids": [], "context": {"year": "x"}},
-]
-
-
-@query(expected("id, rule", ("F1", "id: pattern"), ("F1", "claim: blank"), ("F003", "status: enum"), ("F003", "observed_at: format"), ("F003", "schema_version: type"), ("F004", "claim: required"),
-                ("F004", "unknown field"), ("F004", "evidence_ids: items"), ("F004", "context.metric: required"), ("F004", "context.year: type")))
-def ledger_rule_violations(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(json.dumps(f),) for f in FACTS], "raw string")
-    return rules.violations(rows.withColumn("id", F.get_json_object("raw", "$.id")), rules.compile_rules(F.col("raw"), FACT_SCHEMA, ENUMS), "id")
-
-
-REPORT = """# Report
-The plant has 20 MW (F001) and cost $4.5 million (F002). Output rose 3.2% [F003]... and more.
-
-| item | value |
-|---|---|
-| capacity | 120 MW (F004) |
-
-<!-- FACTSHEET:APPENDIX -->
-## Appendix
-"""
-
-
-@query(expected("doc, segment, sentence", (1, 0, "# Report"), (1, 1, "The plant has 20 MW (F001) and cost $4.5 million (F002)."), (1, 2, "Output rose 3.2% [F003]... and more."), (1, 3, "| item | value |"), (1, 4, "|---|---|"), (1, 5, "| capacity | 120 MW (F004) |")))
-def sentence_segments(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.createDataFrame([(1, REPORT)], "doc int, text string").withColumn("text", markdown.body(F.col("text")))
-    rows = docs.select("doc", F.posexplode(markdown.segments(F.col("text"))).alias("segment", "sentence"))
-    return rows.select(F.col("doc").cast("bigint").alias("doc"), F.col("segment").cast("bigint").alias("segment"), "sentence")
-
-
-@query(expected('segment, "start", "end", dimension, low, high, tag', (1, 14, 19, "W", "2.0E+7", "2.0E+7", "F001"), (1, 36, 48, "USD", "4.5E+6", "4.5E+6", "F002"), (2, 12, 16, "PCT", "3.2", "3.2", "F003"), (5, 13, 19, "W", "1.20E+8", "1.20E+8", "F004")))
-def number_binding(spark: SparkSession, d: str) -> DataFrame:
-    rows = sentence_segments(spark, d).select("segment", F.explode(quantity.bound_numbers("sentence")).alias("n")).select("segment", "n.*")
-    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("start", "end")})
-
-
-@query(expected("unit, dimension, power", ("MW", "W", 6), ("mW", "W", -3), ("USD_B", "USD", 9), ("EUR million", "EUR", 6), ("백만 EUR", "EUR", 6), ("억원", "KRW", 8), ("USD_X", "UNSUPPORTED", 0), ("%", "PCT", 0), ("MW (net)", "W", 6), ("", None, 0), ("parsec", None, 0)))
-def unit_resolution(spark: SparkSession, d: str) -> DataFrame:
-    units = spark.createDataFrame([(u,) for u in ("MW", "mW", "USD_B", "EUR million", "백만 EUR", "억원", "USD_X", "%", "MW (net)", "", "parsec")], "unit string")
-    return units.select("unit", quantity.unit_of("unit").alias("u")).select("unit", "u.dimension", F.col("u.power").cast("bigint").alias("power"))
-
-
 @query()
 def sentences_of_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -111,23 +49,6 @@ def quote_spans(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("item_id", "doc_id", spans.span_of("text", "quote").alias("s")).select("item_id", "doc_id", "s.*")
 
 
-@query()
-def field_semantics(spark: SparkSession, d: str) -> DataFrame:
-    return semantics.field_semantics(table(spark, d, "part"))
-
-
-@query(expected("gate, receipt_id, issues, ok", ("G1", "r3", "", True), ("G2", "r2", "prerequisite_G1", False), ("G3", "r4", "ref_changed,below_G2", False), ("G4", "r5", "failed", False)))
-def receipt_currency(spark: SparkSession, d: str) -> DataFrame:
-    receipts = spark.createDataFrame(
-        [("G1", 1, "r1", 0, {}), ("G2", 2, "r2", 0, {"G1": "r1"}), ("G1", 3, "r3", 0, {}), ("G3", 4, "r4", 0, {"G2": "r2"}), ("G4", 5, "r5", 1, {})],
-        "gate string, seq int, receipt_id string, exit int, prerequisite_receipts map<string,string>",
-    )
-    refs_ = spark.createDataFrame([("r4", "a", "aa"), ("r3", "b", "missing")], "receipt_id string, path string, sha256 string")
-    files = spark.createDataFrame([("a", "bb")], "path string, sha256 string")
-    out = provenance.receipt_issues(receipts, provenance.reference_states(refs_, files), ["G1", "G2", "G3", "G4"])
-    return out.select("gate", "receipt_id", F.array_join("issues", ",").alias("issues"), "ok")
-
-
 @query("""
 SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN regexp_matches(c_name, '^[A-Za-z0-9]') THEN 0 ELSE 2 END, lower(c_name), c_name, c_custkey) AS place FROM customer""")
 def script_collation(spark: SparkSession, d: str) -> DataFrame:

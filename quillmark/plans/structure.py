@@ -10,6 +10,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.catalog import table
 from quillmark.functions import quantity
@@ -165,7 +166,7 @@ _FORM_HEADER = (
 )
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _archive(header: pd.Series, section: pd.Series) -> pd.Series:
     """Archives with these two members."""
 

@@ -9,11 +9,11 @@ import duckdb
 import pytest
 
 from quillmark.catalog import TABLES
-from quillmark.plans import cases, charts, extra, relational, structure
+from quillmark.plans import cases, charts, extra, ledgers, relational, structure
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {**relational.QUERIES, **charts.QUERIES, **extra.QUERIES, **cases.QUERIES, **structure.QUERIES}
-SQL = {**relational.SQL, **charts.SQL, **extra.SQL, **cases.SQL, **structure.SQL}
+QUERIES = {**relational.QUERIES, **charts.QUERIES, **extra.QUERIES, **cases.QUERIES, **ledgers.QUERIES, **structure.QUERIES}
+SQL = {**relational.SQL, **charts.SQL, **extra.SQL, **cases.SQL, **ledgers.SQL, **structure.SQL}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="needs the test tables")
 
