@@ -42,7 +42,8 @@ def test_charts_and_headings(spark):
     assert rows(claims.plan_issues(plan, found)) == {("Risks", "missing"), ("Outlook", "empty")}
     t, d = spark.createDataFrame([("a",), ("b",)], "key string"), spark.createDataFrame([("b",), ("z",)], "key string")
     assert rows(claims.decision_states(t, d)) == {("a", "unresolved"), ("b", "resolved"), ("z", "orphan")}
-    svg = spark.createDataFrame([("p", "<svg><title>t</title><desc>d</desc><!-- FACTS: F001 --><text font-size='8'/></svg>")], "path string, svg string")
+    text = "<svg><!-- FACTS: F001 --><title>t</title><desc>d</desc><text style='font-family: Malgun Gothic' font-size='{}'/></svg>"
+    svg = spark.createDataFrame([("p", text.format(8), None, None), ("q", text.format(12), None, None)], "path string, svg string, chart_type string, fact_ids array<string>")
     assert rows(claims.svg_issues(svg)) == {("p", "small type")}
     places = spark.createDataFrame([("cotedivoire", 384), ("bavaria", 9)], "key string, id int")
     names = spark.createDataFrame([("Côte d'Ivoire",), ("Bavaria State",), ("Nowhere",)], "n string")

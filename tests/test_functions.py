@@ -9,7 +9,7 @@ from quillmark.catalog import WorkPaths, slug
 from quillmark.functions import quantity, refs, semantics, urls
 from quillmark.functions import text as tx
 from quillmark.operators import charts, coverage, ledger, logs, provenance, rules, snapshots, spans
-from quillmark.plans import extra
+from tests import literal_cases
 from quillmark.sources import files, html, markdown, payloads
 
 
@@ -134,7 +134,7 @@ def test_spans(spark):
 
 
 def test_rules(spark):
-    got = {(r.id, r.rule) for r in extra.ledger_rule_violations(spark, "").collect()}
+    got = {(r.id, r.rule) for r in literal_cases.ledger_rule_violations(spark, "").collect()}
     assert got == {
         ("F1", "id: pattern"), ("F1", "claim: blank"), ("F003", "status: enum"), ("F003", "observed_at: format"), ("F003", "schema_version: type"), ("F004", "claim: required"),
         ("F004", "unknown field"), ("F004", "evidence_ids: items"), ("F004", "context.metric: required"), ("F004", "context.year: type"),
@@ -181,7 +181,7 @@ def test_logs_and_receipts(spark):
     assert trace.select(logs.replay_row(F.col("t"))).first()[0].asDict() == {"tier": "mirror", "reason": "x"}
     tries = spark.createDataFrame([("u", 0, "fail", 500), ("u", 1, "partial", 200), ("u", 2, "ok", 200), ("v", 0, "fail", 404), ("v", 1, "ok", 200)], "url string, rank int, status string, http int")
     assert {r.url: r.status for r in logs.ladder(tries, "url", "rank", "status", "http").collect()} == {"u": "ok", "v": "fail"}
-    got = {r.gate: (r.issues, r.ok) for r in extra.receipt_currency(spark, "").collect()}
+    got = {r.gate: (r.issues, r.ok) for r in literal_cases.receipt_currency(spark, "").collect()}
     assert got == {"G1": ("", True), "G2": ("prerequisite_G1", False), "G3": ("ref_changed,below_G2", False), "G4": ("failed", False)}
     with pytest.raises(Exception, match="own program"):
         r = spark.createDataFrame([("G", 0)], "gate string, exit int")
