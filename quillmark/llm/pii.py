@@ -131,7 +131,11 @@ def _is_date(m: str) -> str:
 
 def _date(m: str, key: str) -> str:
     """A day of the same century. Day-month-year is read first, month-day-year where that is
-    no date; the order stays. What is no date in either order stays."""
+    no date; the order stays. What is no date in either order stays.
+
+    Strings that can only be read month first (the day is 13 or more) are a format of their own:
+    they are permuted among such strings, as any other day would print as a string that is read
+    day first, and stand for two days."""
     year = f"if({m} rlike '^[0-9]{{4}}', substring({m}, 1, 4), substring({m}, 7, 4))"
     iso = f"try_to_date({m}, 'yyyy-MM-dd')"
     day_first = f"try_to_date(concat_ws('-', substring({m}, 7, 4), substring({m}, 4, 2), substring({m}, 1, 2)), 'yyyy-MM-dd')"
@@ -141,9 +145,19 @@ def _date(m: str, key: str) -> str:
     leap = f"(cast({year} as int) div 100) % 4 = 0"
     rows = f"if({leap}, 487, 397)"
     pair = feistel("date", f"o div {rows}", f"o % {rows}", f"if({leap}, 75, 92)", rows, key)
-    order = f"case when {m} rlike '-' then 'yyyy-MM-dd' when {day_first} is not null then concat('dd', substring({m}, 3, 1), 'MM', substring({m}, 3, 1), 'yyyy') else concat('MM', substring({m}, 3, 1), 'dd', substring({m}, 3, 1), 'yyyy') end"
+    order = f"case when {m} rlike '-' then 'yyyy-MM-dd' else concat('dd', substring({m}, 3, 1), 'MM', substring({m}, 3, 1), 'yyyy') end"
     new = _with(f"datediff(d, {start})", "o", _with(pair, "x", f"date_format(date_add({start}, cast(x.l * {rows} + x.r as int)), {order})"))
-    return _with(f"case when {m} rlike '-' then {iso} else coalesce({day_first}, {month_first}) end", "d", f"if(d is null or {year} < '0100', {m}, {new})")
+    # 22125 or 22124 days from the 13th on: a day's place among them is its place less 12 for each
+    # month so far. The other way round, of some months around the expected one just one fits.
+    months = "(year({0}) % 100 * 12 + month({0}))"
+    late_rows = f"if({leap}, 177, 5531)"
+    late_pair = feistel("late date", f"o div {late_rows}", f"o % {late_rows}", f"if({leap}, 125, 4)", late_rows, key)
+    tried = f"transform(sequence(cast(n div 18.43 as int) - 4, cast(n div 18.43 as int) + 4), k -> named_struct('k', k, 'd', date_add({start}, cast(n + 12 * k as int))))"
+    day = f"element_at(filter({tried}, e -> {months.format('e.d')} = e.k and year(e.d) div 100 = cast({year} as int) div 100 and day(e.d) > 12), 1).d"
+    late_order = f"concat('MM', substring({m}, 3, 1), 'dd', substring({m}, 3, 1), 'yyyy')"
+    late = _with(f"datediff(d, {start}) - 12 * {months.format('d')}", "o", _with(late_pair, "x", _with(f"x.l * {late_rows} + x.r", "n", f"date_format({day}, {late_order})")))
+    read = f"case when {m} rlike '-' then {iso} else {day_first} end"
+    return _with(read, "d", f"if(d is not null and {year} >= '0100', {new}, {_with(month_first, 'd', f'if(d is null or {year} < \'0100\' or {m} rlike \'-\', {m}, {late})')})")
 
 
 _MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -166,7 +180,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     numbers, ten-digit phone numbers and card numbers with a right check digit. Each is
     permuted with a keyed Feistel network over all values of its format, so equal values get
     equal pseudonyms in all documents, different ones different pseudonyms, and the pseudonym
-    is valid in the same format. A permutation may map a value to itself; that is its pseudonym.
+    is valid in the same format. Dates that can only be read month first are a format of their own. A permutation may map a value to itself; that is its pseudonym.
 
     Runs in the scan's stage, without a shuffle or Python. Null text stays null with nothing
     found; an empty table gives no rows; other columns are carried on, one named found is

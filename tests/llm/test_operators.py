@@ -207,9 +207,15 @@ def plain_pseudonym(kind, m, key):
                 continue
             start = datetime.date(day.year // 100 * 100, 1, 1)
             rows, parts = (487, 75) if start.year % 400 == 0 else (397, 92)
-            n = (day - start).days
-            x, y = feistel("date", n // rows, n % rows, parts, rows, key)
-            return (start + datetime.timedelta(x * rows + y)).strftime(order)
+            if order != orders[-1] or len(orders) == 1:
+                n = (day - start).days
+                x, y = feistel("date", n // rows, n % rows, parts, rows, key)
+                return (start + datetime.timedelta(x * rows + y)).strftime(order)
+            every = (start + datetime.timedelta(i) for i in range(36524 + (start.year % 400 == 0)))
+            late = [x for x in every if x.day > 12]
+            rows, parts = (177, 125) if start.year % 400 == 0 else (5531, 4)
+            x, y = feistel("late date", late.index(day) // rows, late.index(day) % rows, parts, rows, key)
+            return late[x * rows + y].strftime(order)
     if kind == "email":
         local, domain = m.rsplit("@", 1)
         half = len(local) // 2
@@ -266,6 +272,16 @@ def test_permutation_of_a_small_format(spark):
     assert len(set(got)) == len(got) == 36524 and min(got) == "1900-01-01" and max(got) == "1999-12-31"
 
 
+@pytest.mark.parametrize("century", [19, 20])
+def test_no_two_strings_of_a_century_share_a_pseudonym(spark, century):
+    """All strings that are read day first, and all that can only be read month first."""
+    days = spark.sql(f"select explode(sequence(date'{century}00-01-01', date'{century}99-12-31')) d")
+    both = days.selectExpr("date_format(d, 'dd/MM/yyyy') m").union(days.where("day(d) > 12").selectExpr("date_format(d, 'MM/dd/yyyy') m"))
+    got = both.select("m", pii.pseudonym("m", "k").alias("p")).collect()
+    n = 36524 + 22124 + 2 * (century == 20)
+    assert len({r.m for r in got}) == len({r.p for r in got}) == len(got) == n and {r.m for r in got} == {r.p for r in got}
+
+
 def test_values_that_are_their_own_pseudonym_are_found(spark):
     days = spark.sql("select explode(sequence(date'1900-01-01', date'1999-12-31')) d").selectExpr("date_format(d, 'yyyy-MM-dd') m").cache()
     for k in "abcdefgh":
