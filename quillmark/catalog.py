@@ -20,9 +20,10 @@ def register(spark: SparkSession, folder: str) -> None:
         table(spark, folder, name).createOrReplaceTempView(name)
 
 
-def slug(topic: str) -> str:
-    """Lower-case letters, digits (of any script) and single hyphens."""
-    return re.sub(r"[\W_]+", "-", topic.strip().lower()).strip("-") or "topic"
+def slug(topic: str, most: int = 40) -> str:
+    """A topic as a folder's name; `functions.specs.slug` is the same for columns."""
+    name = re.sub(r"\s+", "_", re.sub(r'[\\/:*?"<>|]', "", topic.strip()))
+    return name[:most].strip("_") or "untitled"
 
 
 @dataclass(frozen=True)

@@ -96,9 +96,9 @@ def overflow_trim(df: DataFrame, channels: list[tuple[str, int, str]], value: st
 def viewport(df: DataFrame, category: str, offset: int, size: int) -> DataFrame:
     """Rows of the categories offset .. offset + size - 1 in lexical order; a window that
     would end beyond the last category is moved back."""
-    keys = df.select(category).distinct().withColumns({"_rn": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(category)), "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
-    start = F.greatest(F.lit(0), F.least(F.lit(offset), F.col("_n") - size))
-    return df.join(keys.where((F.col("_rn") > start) & (F.col("_rn") <= start + size)).select(category), category, "left_semi")
+    keys = df.select(category).distinct()
+    start = max(0, min(offset, keys.count() - size))
+    return df.join(keys.orderBy(category).offset(start).limit(size), category, "left_semi")
 
 
 def signed_extremes(df: DataFrame, x: str, value: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators import charts
+from quillmark.operators import charts, ordering
 
 # What is known of the domain of a semantic type.
 INTRINSIC = {"Latitude": (-90.0, 90.0), "Longitude": (-180.0, 180.0), "Correlation": (-1.0, 1.0)}
@@ -99,8 +99,8 @@ def rank_axis(x_semantic: str | None, y_semantic: str | None, x_kind: str, y_kin
 def gantt_rows(df: DataFrame, task: str, start: str, end: str) -> DataFrame:
     """task, start, end, place: tasks in the order of their first start, then name; a task's
     intervals stay rows of their own."""
-    first = df.where(F.col(task).isNotNull()).groupBy(task).agg(F.min(start).alias("_first"))
-    placed = first.select(task, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("_first").asc_nulls_last(), task)).alias("place"))
+    first = df.where(F.col(task).isNotNull()).groupBy(task).agg(F.min(start).alias("_first")).withColumn("_none", F.col("_first").isNull())
+    placed = ordering.numbered(first, "place", ["_none", "_first", task]).select(task, "place")
     return df.select(task, start, end).join(placed, task)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.catalog import table
-from quillmark.functions import decode, quantity, urls
+from quillmark.functions import decode, quantity, specs, urls
 from quillmark.operators import claims, ledger, provenance, reports, rules
 from quillmark.sources import markdown
 
@@ -531,3 +531,40 @@ def image_index(spark: SparkSession, d: str) -> DataFrame:
     files = p.where(k % 5 > 0).select(F.when(k % 3 == 2, file).otherwise(F.concat(folder, F.lit("/x"), k.cast("string"), F.lit(".png"))).alias("path"))
     found = reports.located_images(reports.image_records(index), files)
     return found.select(F.regexp_extract("file", r"x(\d+)\.png", 1).cast("bigint").alias("k"), "folder", "file", "path")
+
+
+# requests for charts
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k FROM part),
+i AS (SELECT k, unnest([CASE k % 4 WHEN 0 THEN 'no facts' WHEN 1 THEN 'fact twice' END, CASE WHEN k % 5 IN (1, 2, 4) THEN 'outside assets' END, CASE WHEN k % 3 = 0 AND k % 5 < 4 THEN 'not svg' WHEN k % 5 = 4 THEN NULL END]) AS issue FROM p)
+SELECT k, issue FROM i WHERE issue IS NOT NULL""")
+def chart_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """Fact lists and output places of chart requests."""
+    k = F.col("p_partkey")
+    name = k.cast("string")
+    ids = _pick(k, F.lit(" , "), F.concat(F.lit("F"), name, F.lit(", F"), name), F.concat(F.lit("F"), name), F.concat(F.lit("F"), name, F.lit(",F0")))
+    ending = F.when(k % 3 == 0, ".png").otherwise(".svg")
+    target = _pick(k, F.concat(F.lit("assets/x/../"), name, ending), F.concat(F.lit("../assets/"), name, ending), F.concat(F.lit("assets/../"), name, ending), F.concat(F.lit("./assets/"), name, ending), F.concat(name, F.lit(".svg")))
+    return table(spark, d, "part").select(k.alias("k"), F.explode(specs.argument_issues(ids, target)).alias("issue"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_quantity AS q, l_extendedprice AS p FROM lineitem)
+SELECT k, n, '{"q":' || q::BIGINT || ',"p":' || CASE WHEN p = floor(p) THEN p::BIGINT::VARCHAR ELSE p::VARCHAR END || CASE WHEN n % 2 = 0 THEN ',"even":{"half":' || CASE WHEN n % 4 = 0 THEN (n // 2)::VARCHAR ELSE (n / 2.0)::DOUBLE::BIGINT::VARCHAR END || '}' ELSE '' END || ',"t":"7.0 of ' || n || '.0"}' AS spec FROM l""")
+def chart_specs(spark: SparkSession, d: str) -> DataFrame:
+    """Specifications with whole numbers as integers and without empty fields."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p")).distinct()
+    even = F.when(F.col("n") % 2 == 0, F.struct((F.col("n") / 2).alias("half")))
+    return lines.select("k", "n", specs.spec(F.col("q"), F.col("p"), even.alias("even"), F.concat(F.lit("7.0 of "), F.col("n").cast("string"), F.lit(".0")).alias("t")).alias("spec"))
+
+
+@query("""
+SELECT c_custkey, 'research_' || CASE WHEN c_custkey % 3 = 0 THEN 'untitled' ELSE rtrim(substr(c_mktsegment || '_of_' || c_name || '_and_much_more_of_it', 1, 40), '_') END || '_2024010' || (1 + c_custkey % 9) AS x FROM customer""")
+def work_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Names of work folders by topic and day."""
+    k = F.col("c_custkey")
+    topic = F.when(k % 3 == 0, " ?: ").otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit("?  of\t"), "c_name", F.lit(": and much more of it")))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 9).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", specs.work_folder(topic, day).alias("x"))

@@ -111,4 +111,13 @@ def merge_rectangles(rects: list[tuple[float, float, float, float]], gap: float
     return sorted(out)
 
 
-merge_boxes = F.udf(lambda rects, gap: merge_rectangles([tuple(r) for r in rects or []], gap), T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x0", "y0", "x1", "y1")])), useArrow=True)
+_BOXES = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x0", "y0", "x1", "y1")]))
+
+
+@F.pandas_udf(_BOXES)
+def merge_boxes(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """merge_rectangles of a page's boxes (an array of structs) and a gap; null has none."""
+    names = ("x0", "y0", "x1", "y1")
+    for rects, gap in columns:
+        merged = [merge_rectangles([tuple(r[n] for n in names) for r in boxes], g) if boxes is not None else [] for boxes, g in zip(rects, gap, strict=True)]
+        yield pd.Series([[dict(zip(names, r, strict=True)) for r in boxes] for boxes in merged])

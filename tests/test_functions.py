@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.catalog import WorkPaths, slug
-from quillmark.functions import quantity, refs, semantics, urls
+from quillmark.functions import quantity, refs, semantics, specs, urls
 from quillmark.functions import text as tx
 from quillmark.operators import charts, coverage, ledger, logs, provenance, rules, snapshots, spans
 from tests import literal_cases
@@ -96,6 +96,25 @@ def test_gaps_of_the_number_grammar(spark):
     assert [[(g["unit"], g["state"]) for g in r["g"]] for r in df.collect()] == [w for _, w in GAP_CASES] + [[]]
 
 
+def test_specs(spark):
+    texts = ['{"a":200.0,"b":[1.5,-3.0,1.0E3],"c":"x 2.0 \\" 3.0","d":0.5,"e":-0.0,"f":1e400}', "7.0", None, "{}", '"1.0"']
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(specs.spec_numbers(F.col("t"))).collect()]
+    assert got == ['{"a":200,"b":[1.5,-3,1000],"c":"x 2.0 \\" 3.0","d":0.5,"e":0,"f":1e400}', "7", None, "{}", '"1.0"']
+    nested = F.struct(F.lit(3.0).alias("x"), F.lit(None).cast("string").alias("y"))
+    assert one(spark, specs.spec(F.lit(2.0).alias("a"), nested.alias("n"), F.col("t").alias("gone")), t=None) == '{"a":2,"n":{"x":3}}'
+    for value, want in (('"w"', '{"field":"w"}'), ('["a",{"field":"b"}]', '[{"field":"a"},{"field":"b"}]'), ('{"field":"c"}', '{"field":"c"}'), ("3", "3")):
+        assert one(spark, specs.channel_settings(F.col("v")), v=value) == want
+    cases = [
+        ("F001, F002", None, []), (" ,", "assets/a.svg", ["no facts"]), ("F1,F1", "./assets/x/../a.SVG", ["fact twice"]), ("F1", "../assets/a.svg", ["outside assets"]), ("F1", "assets/../a.svg", ["outside assets"]), ("F1", "/assets/a.svg", ["outside assets"]), ("F1", "assets/a.png", ["not svg"]),
+        ("F1", "a.svg", ["outside assets"]), ("F1", "x/../../w/assets/a.svg", ["outside assets"]), (None, "assets", ["no facts", "outside assets", "not svg"]),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    assert [r[0] for r in df.orderBy("i").select(specs.argument_issues(F.col("a"), F.col("b"))).collect()] == [w for *_, w in cases]
+    names = [" A  topic:! ", "시장  조사?", "", "_", "x" * 39 + " y", None]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(specs.slug(F.col("n"))).collect()
+    assert [r[0] for r in rows] == [slug(n or "") for n in names]
+
+
 def test_growth(spark):
     cases = [
         (("100", 2020, "121", 2022, "10", 2020, 2022), "MATCH"), (("100", 2020, "121", 2022, "10", None, None), "NOT_CHECKABLE"), (("100.00", 2020, "160.00", 2025, "10", 2020, 2025), "CONFLICT"),
@@ -257,4 +276,4 @@ def test_files(spark, tmp_path):
     files.overwrite_all({"a": spark.range(3)}, f"{at}/db")
     assert spark.read.parquet(f"{files.current_version(spark, f'{at}/db')}/a").count() == 3
     tree = {r.path: r.label for r in files.file_tree(spark, at).collect()}
-    assert tree["facts.jsonl"] == "facts" and slug(" A  topic! ") == "a-topic"
+    assert tree["facts.jsonl"] == "facts" and slug(" A  topic:! ") == "A_topic!" and slug("/ ? ") == "untitled"
