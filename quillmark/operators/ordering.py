@@ -11,15 +11,26 @@ RANGES, SAMPLED = 64, 40
 
 def with_ranges(df: DataFrame, keys: list[str], ranges: int = RANGES) -> DataFrame:
     """df with _range: the number of the range of its keys. Ranges follow the order of the keys;
-    equal keys share one. The cuts are at most `ranges` sampled rows, so _range is a plain
-    expression that is the same wherever it is computed."""
-    n = df.count()
-    rows = df.select(*keys).sample(min(1.0, ranges * SAMPLED / max(1, n)), seed=1).orderBy(*keys).collect() if n > ranges * SAMPLED else []
-    cuts = [rows[i * len(rows) // ranges] for i in range(1, ranges)] if len(rows) >= ranges else []
+    equal keys share one. The cuts are at most `ranges` of some sampled rows (those with the
+    smallest hashes of keys and place: one pass, some rows a task), so _range is a plain
+    expression that is the same wherever it is computed; a row is compared with six of 64 cuts."""
+    wanted = ranges * SAMPLED
+    drawn = df.select(*keys).orderBy(F.xxhash64(*keys, F.monotonically_increasing_id())).limit(wanted).collect()
+    order = lambda row: tuple((v is not None, v) if not isinstance(v, float) else (True, v != v, v) for v in row)
+    rows = sorted(drawn, key=order) if len(drawn) == wanted else []
+    cuts = list(dict.fromkeys(rows[i * len(rows) // ranges] for i in range(1, ranges))) if rows else []
     types = [df.schema[k].dataType for k in keys]
     own = F.struct(*keys)
-    above = [F.when(own > F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(cut, types, keys, strict=True)]), 1).otherwise(0) for cut in dict.fromkeys(cuts)]
-    return df.withColumn("_range", sum(above, F.lit(0)))
+    bound = [F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(cut, types, keys, strict=True)]) for cut in cuts]
+
+    def found(lo: int, hi: int) -> Column:
+        """The number of cuts below the row's keys, of lo to hi."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(own > bound[mid], found(mid + 1, hi)).otherwise(found(lo, mid))
+
+    return df.withColumn("_range", found(0, len(bound)))
 
 
 def _before(ranged: DataFrame, total: Column) -> Column:
