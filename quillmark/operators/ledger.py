@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a claim key is made of, old and new.
 KEY_FIELDS = ("metric", "entity", "entity_id", "geography", "period", "basis", "scenario", "definition")
@@ -110,19 +112,48 @@ def set_status(facts: DataFrame, changes: DataFrame, at: str) -> DataFrame:
     return out.withColumns({"demoted_at": demoted, "discard_reason": reason, "status": new}).drop("new_status", "reason")
 
 
-def observers(observations: DataFrame, by: str, keys: list[str]) -> DataFrame:
-    """by, observers: how many independent observers a fact has. Observations that share a
-    group, an address or a hash, directly or over others, are one. A fact has tens of
-    observations, so its distinct value sets are merged in one expression."""
-    sets = observations.groupBy(by).agg(F.collect_set(F.array_compact(F.array(*[F.concat(F.lit(f"{k}="), F.col(k)) for k in keys]))).alias("_sets"))
+def _components(batches):
+    """(key, number of connected observations) of rows (key, values) that come key by key: a
+    union-find over values, linear in a fact's distinct observations."""
+    now, root, bare, out = None, {}, False, []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def count() -> int:
+        return sum(find(x) == x for x in root) + bare
+
+    for batch in batches:
+        for key, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (key,) != now:
+                if now is not None:
+                    out.append((now[0], count()))
+                now, root, bare = (key,), {}, False
+            if not values:
+                bare = True
+            for v in values:
+                root.setdefault(v, v)
+                root[find(v)] = find(values[0])
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], batch.schema.field(0).type), pa.array([n for _, n in out], pa.int32())], ["key", "observers"])
+            out = []
+    if now is not None:
+        out.append((now[0], count()))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], batch.schema.field(0).type), pa.array([n for _, n in out], pa.int32())], ["key", "observers"])
 
-    def merge(acc: Column, item: Column) -> Column:
-        touching = F.filter(acc, lambda s: F.arrays_overlap(s, item))
-        others = F.filter(acc, lambda s: ~F.arrays_overlap(s, item))
-        return F.concat(others, F.array(F.array_distinct(F.concat(F.flatten(touching), item))))
 
-    none = F.array().cast("array<array<string>>")
-    return sets.select(by, F.size(F.aggregate("_sets", none, merge)).alias("observers"))
+def observers(observations: DataFrame, by: str, keys: list[str]) -> DataFrame:
+    """by, observers: how many independent observers a fact has. Observations that share a
+    group, an address or a hash, directly or over others, are one; those without any are one
+    together. Equal observations are merged before the shuffle; a fact's others meet in one
+    task, which holds their values and takes linear time."""
+    values = F.array_compact(F.array(*[F.concat(F.lit(f"{k}="), F.col(k)) for k in keys]))
+    rows = observations.select(F.col(by).alias("key"), values.alias("values")).distinct()
+    out = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_components, T.StructType([rows.schema["key"], T.StructField("observers", T.IntegerType())]))
+    return out.withColumnRenamed("key", by)
 
 
 def union_kinds(*frames: DataFrame) -> DataFrame:
