@@ -258,12 +258,13 @@ def excerpt(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT role, replace(unnest(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?')), ',', '') AS token FROM conversations),
-n AS (SELECT token, sum(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END) AS d FROM t GROUP BY 1)
+WITH t AS (SELECT lang, replace(unnest(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?')), ',', '') AS token FROM documents),
+n AS (SELECT token, sum(CASE lang WHEN 'en' THEN 1 ELSE -1 END) AS d FROM t GROUP BY 1)
 SELECT token, greatest(d, 0)::BIGINT AS only_left, greatest(-d, 0)::BIGINT AS only_right FROM n WHERE d <> 0""")
 def number_token_multiset_diff(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select("role", F.explode(tx.number_tokens(F.col("text"))).alias("token"))
-    return snapshots.multiset_diff(turns.where("role = 'user'"), turns.where("role = 'assistant'"), "token")
+    """Numbers of the English documents against those of all others."""
+    numbers = table(spark, d, "documents").select("lang", F.explode(tx.number_tokens(F.col("text"))).alias("token"))
+    return snapshots.multiset_diff(numbers.where("lang = 'en'"), numbers.where("lang <> 'en'"), "token")
 
 
 @query("""
