@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.catalog import table
-from quillmark.functions import decode, quantity, specs, urls
+from quillmark.functions import decode, quantity, semantics, specs, urls
 from quillmark.operators import claims, ledger, provenance, reports, rules
 from quillmark.sources import markdown
 
@@ -568,3 +568,51 @@ def work_folders(spark: SparkSession, d: str) -> DataFrame:
     topic = F.when(k % 3 == 0, " ?: ").otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit("?  of\t"), "c_name", F.lit(": and much more of it")))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 9).cast("int"))
     return table(spark, d, "customer").select("c_custkey", specs.work_folder(topic, day).alias("x"))
+
+
+@query("""
+SELECT k, CASE k % 5 WHEN 0 THEN 'TON' WHEN 1 THEN 'EUR' WHEN 2 THEN '대' WHEN 3 THEN 'USD' ELSE 'PCT' END AS dimension,
+       CASE k % 5 WHEN 0 THEN k WHEN 1 THEN k * 1e9 WHEN 2 THEN k * 1e4 WHEN 3 THEN (-5 - k) * 1e6 ELSE k + 0.5 END::DOUBLE AS low,
+       CASE k % 5 WHEN 0 THEN k + 2 WHEN 1 THEN (k + 5) * 1e9 WHEN 2 THEN k * 1e4 WHEN 3 THEN (-5 + k) * 1e6 ELSE k + 0.5 END::DOUBLE AS high, CASE k % 5 WHEN 1 THEN 'F005' WHEN 4 THEN 'F003' END AS tag
+FROM (SELECT o_orderkey AS k FROM orders)""")
+def number_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges, errors, scales, signs and units of numbers, and their tags."""
+    k = _key().cast("string")
+    text = _pick(
+        _key(), F.concat((_key() + 1).cast("string"), F.lit("±1 톤")), F.concat(F.lit("€"), k, F.lit("-"), (_key() + 5).cast("string"), F.lit("bn (F005)")), F.concat(F.lit("3 대 of "), k, F.lit("만대")),
+        F.concat(F.lit("-$5±"), k, F.lit(" million")), F.concat(F.lit("[F003] rose "), k, F.lit(".5%")),
+    )
+    rows = orders(spark, d).select(_key().alias("k"), F.explode(quantity.bound_numbers(text)).alias("n"))
+    return rows.select("k", "n.dimension", F.col("n.low").cast("double").alias("low"), F.col("n.high").cast("double").alias("high"), "n.tag")
+
+
+@query("""
+WITH u AS (SELECT DISTINCT p_partkey % 9 AS k FROM part)
+SELECT ['MW', 'mW', 'kt', 'KT', 't', 'million', '%', 'parsec', 'MW (net)'][k + 1] AS unit, ['W', 'W', 'TON', NULL, 'TON', 'N', 'PCT', NULL, 'W'][k + 1] AS dimension, [6, -3, 3, 0, 0, 6, 0, 0, 6][k + 1] AS power FROM u""")
+def unit_table(spark: SparkSession, d: str) -> DataFrame:
+    """Units (F18): physical ones are told by case."""
+    units = table(spark, d, "part").select(_pick(F.col("p_partkey"), "MW", "mW", "kt", "KT", "t", "million", "%", "parsec", "MW (net)").alias("unit")).distinct()
+    return units.select("unit", quantity.unit_of("unit").alias("u")).select("unit", "u.dimension", F.col("u.power").alias("power"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS t, o_orderkey::VARCHAR AS a, o_orderpriority || ' at ' || CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) AS b FROM orders),
+m AS (SELECT t, max(length(a)) AS a, max(length(b)) AS b, max(list_max(list_transform(string_split(b, ' '), lambda w: length(w)))) AS w FROM o GROUP BY 1),
+n AS (SELECT t, greatest(a, 4) AS n0, least(CASE WHEN greatest(b, 8) <= 16 THEN greatest(b, 8) ELSE greatest(w, 8) END, 50) AS n1, greatest(least(a, 40), 4) AS p0, greatest(least(b, 40), 8) AS p1 FROM m),
+w AS (SELECT t, n0 + (100 - n0 - n1) * p0 // (p0 + p1) AS w0 FROM n)
+SELECT t, 0::BIGINT AS "column", w0::BIGINT AS width FROM w UNION ALL SELECT t, 1, 100 - w0 FROM w""")
+def column_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Widths of the columns of a table per customer."""
+    text = F.concat("o_orderpriority", F.lit(" at "), _price(F.col("o_totalprice")))
+    rows = orders(spark, d).select(F.col("o_custkey").alias("t"), (_key() + 1).alias("row"), F.array(_key().cast("string"), text).alias("cells"))
+    heads = rows.select("t").distinct().select("t", F.lit(0).cast("bigint").alias("row"), F.array(F.lit("item"), F.lit("priority")).alias("cells"))
+    return reports.column_widths(heads.union(rows), ["t"], "cells", 100).select("t", F.col("column").cast("bigint").alias("column"), "width")
+
+
+@query("""
+SELECT 'p_partkey' AS "column", 'Quantity' AS semantic, 'quantitative' AS type, 'sum' AS aggregate, min(p_partkey)::DOUBLE AS lo, max(p_partkey)::DOUBLE AS hi FROM part
+UNION ALL SELECT 'p_size', 'Quantity', 'quantitative', 'sum', min(p_size), max(p_size) FROM part UNION ALL SELECT 'p_retailprice', 'Quantity', 'quantitative', 'sum', min(p_retailprice), max(p_retailprice) FROM part
+UNION ALL SELECT unnest(['p_name', 'p_brand', 'p_type']), 'Category', 'nominal', NULL, NULL, NULL""")
+def field_semantics(spark: SparkSession, d: str) -> DataFrame:
+    """What the columns of a table are, from one aggregation over it."""
+    return semantics.field_semantics(table(spark, d, "part")).select("column", "semantic", "type", "aggregate", "lo", "hi")
