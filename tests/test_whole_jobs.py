@@ -10,3 +10,8 @@ def test_every_page_is_decoded(spark):
     rows = ledgers.page_decoding(spark, FOLDER).collect()
     assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in table(spark, FOLDER, "pages").select("page_id").collect())
     assert {(r.header, r.meta) for r in rows} == {("utf-8", None), (None, "iso-8859-1"), ("utf-16be", None), ("latin-1", None)}
+
+
+def test_every_unit_is_resolved(spark):
+    found = {r.unit: (r.dimension, r.power) for r in ledgers.unit_table(spark, FOLDER).collect()}
+    assert len(found) == 15 and found["백만 EUR"] == ("EUR", 6) and found["USD_X"] == ("UNSUPPORTED", 0) and found[""] == (None, 0)
