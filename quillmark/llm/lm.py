@@ -23,6 +23,8 @@ VOCAB, PAD = KNOWN + SHARED + 1, KNOWN + SHARED
 REACH, WIDTH, HIDDEN, CLASSES = 2, 16, 32, 32
 SLOTS = VOCAB // CLASSES
 BATCH, RATE, ROUNDS = 8192, 0.08, 2
+#: Tokens scored at once; what a core's cache holds.
+SCORED = 4096
 #: Tokens that are trained on one after the other, and most such shards.
 SHARD, SHARDS = 1 << 21, 8192
 _PARTS = {"embed": (VOCAB, WIDTH), "inner": (2 * REACH * WIDTH, HIDDEN), "bias": (HIDDEN,), "top": (HIDDEN, CLASSES), "top_bias": (CLASSES,), "slot": (CLASSES, HIDDEN, SLOTS), "slot_bias": (CLASSES, SLOTS)}
@@ -96,70 +98,104 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _exponentials(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row up to a factor, in place, and the rows' sums. Rows are brought down by
+    their maximum only where one is so large or small that exp could leave float's range."""
+    if len(values) and max(values.max(), -values.min()) > 60:
+        values -= values.max(1, keepdims=True)
+    np.exp(values, out=values)
+    return values, values @ np.ones(values.shape[1], np.float32)
+
+
 class Network:
     """Predicts a word from both sides: p(class of the word) p(word in its class)."""
 
     def __init__(self, flat: np.ndarray) -> None:
         self.flat = flat
         self.p = _views(flat)
+        self._rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, rows: int, width: int) -> np.ndarray:
+        """Space for rows, the same at each call: fresh arrays of this size are fresh pages,
+        which cost more time than what is computed in them."""
+        have = self._rooms.get(name)
+        if have is None or len(have) < rows:
+            have = self._rooms[name] = np.empty((rows, width), np.float32)
+        return have[:rows]
 
     def _forward(self, context: np.ndarray, target: np.ndarray):
-        p = self.p
-        x = p["embed"][context].reshape(len(context), -1)
-        h = np.tanh(x @ p["inner"] + p["bias"])
-        top = h @ p["top"] + p["top_bias"]
-        top -= top.max(1, keepdims=True)
-        np.exp(top, out=top)
-        top /= top.sum(1, keepdims=True)
-        order = np.argsort(target % CLASSES, kind="stable")
-        edges = np.searchsorted((target % CLASSES)[order], np.arange(CLASSES + 1))
-        slot = np.empty((len(target), SLOTS), np.float32)  # in the order of classes
-        ordered = h[order]
+        """Inputs, hidden values, exponentials of the class and slot values with their sums, and
+        the tokens by class; slots are in the order of classes."""
+        p, size = self.p, len(target)
+        x = self._room("x", size, 2 * REACH * WIDTH)
+        np.take(p["embed"], context.ravel(), axis=0, out=x.reshape(-1, WIDTH), mode="clip")
+        h = np.matmul(x, p["inner"], out=self._room("h", size, HIDDEN))
+        h += p["bias"]
+        np.tanh(h, out=h)
+        top = np.matmul(h, p["top"], out=self._room("top", size, CLASSES))
+        top += p["top_bias"]
+        top, top_sum = _exponentials(top)
+        kind = (target % CLASSES).astype(np.uint8)  # small numbers are sorted by their digits
+        order = np.argsort(kind, kind="stable")
+        edges = np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=CLASSES)))).tolist()
+        slot = self._room("slot", size, SLOTS)
+        ordered = np.take(h, order, axis=0, out=self._room("ordered", size, HIDDEN), mode="clip")
         for c in range(CLASSES):
             a, b = edges[c], edges[c + 1]
             if a < b:
-                slot[a:b] = ordered[a:b] @ p["slot"][c] + p["slot_bias"][c]
-        slot -= slot.max(1, keepdims=True)
-        np.exp(slot, out=slot)
-        slot /= slot.sum(1, keepdims=True)
-        return x, h, top, order, edges, ordered, slot
+                np.matmul(ordered[a:b], p["slot"][c], out=slot[a:b])
+                slot[a:b] += p["slot_bias"][c]
+        slot, slot_sum = _exponentials(slot)
+        return x, h, top, top_sum, order, edges, ordered, slot, slot_sum
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, top, order, _, _, slot = self._forward(context, target)
+        _, _, top, top_sum, order, _, _, slot, slot_sum = self._forward(context, target)
         n = np.arange(len(target))
-        out = np.log(top[n, target % CLASSES] + 1e-30)
-        out[order] += np.log(slot[n, (target // CLASSES)[order]] + 1e-30)
+        out = np.log(top[n, target % CLASSES] / top_sum + 1e-30)
+        out[order] += np.log(slot[n, (target // CLASSES)[order]] / slot_sum + 1e-30)
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, grown: np.ndarray) -> None:
         """One Adagrad step; grown: sums of squared gradients so far."""
         p, n = self.p, np.arange(len(target))
-        x, h, top, order, edges, ordered, slot = self._forward(context, target)
+        x, h, top, top_sum, order, edges, ordered, slot, slot_sum = self._forward(context, target)
+        top *= (1 / top_sum)[:, None]
+        slot *= (1 / slot_sum)[:, None]
         top[n, target % CLASSES] -= 1
         slot[n, (target // CLASSES)[order]] -= 1
         flat = np.zeros(_SIZE, np.float32)
         g = _views(flat)
         g["top"][:] = h.T @ top
-        g["top_bias"][:] = top.sum(0)
-        back = np.empty_like(h)
+        ones = np.ones(len(target), np.float32)
+        g["top_bias"][:] = ones @ top
+        from_slots = self._room("from_slots", len(target), HIDDEN)  # in the order of classes
         for c in range(CLASSES):
             a, b = edges[c], edges[c + 1]
             if a < b:
-                g["slot"][c] = ordered[a:b].T @ slot[a:b]
-                g["slot_bias"][c] = slot[a:b].sum(0)
-                back[order[a:b]] = slot[a:b] @ p["slot"][c].T
-        back += top @ p["top"].T
-        back *= 1 - h * h
+                np.matmul(ordered[a:b].T, slot[a:b], out=g["slot"][c])
+                np.matmul(ones[a:b], slot[a:b], out=g["slot_bias"][c])
+                np.matmul(slot[a:b], p["slot"][c].T, out=from_slots[a:b])
+        back = np.matmul(top, p["top"].T, out=self._room("back", len(target), HIDDEN))
+        place = np.empty_like(order)
+        place[order] = n
+        back += np.take(from_slots, place, axis=0, out=ordered, mode="clip")
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h
         g["inner"][:] = x.T @ back
-        g["bias"][:] = back.sum(0)
-        ctx = context.ravel()
+        g["bias"][:] = ones @ back
+        ctx = context.ravel().astype(np.uint16)
         by = np.argsort(ctx, kind="stable")
-        rows = (back @ p["inner"].T).reshape(-1, WIDTH)[by]
-        heads = np.flatnonzero(np.diff(ctx[by], prepend=-1))
-        g["embed"][ctx[by][heads]] = np.add.reduceat(rows, heads, axis=0)
+        rows = np.matmul(back, p["inner"].T, out=x).reshape(-1, WIDTH)
+        rows = np.take(rows, by, axis=0, out=self._room("rows", len(by), WIDTH), mode="clip")
+        ctx = ctx[by]
+        heads = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
+        g["embed"][ctx[heads]] = np.add.reduceat(rows, heads, axis=0)
         flat /= len(target)
         grown += flat * flat
-        self.flat -= RATE * flat / np.sqrt(grown)
+        flat *= RATE
+        flat /= np.sqrt(grown)
+        self.flat -= flat
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -312,8 +348,8 @@ def score(docs: DataFrame, words: Words, flat: np.ndarray, id_col: str = "doc_id
             ids, first, share = token_ids(buf, bounds, words)
             around = contexts(ids, first)
             logs = np.zeros(len(ids) + 1)
-            for at in range(0, len(ids), BATCH):
-                logs[at + 1 : at + 1 + BATCH] = net.log_probabilities(around[at : at + BATCH], ids[at : at + BATCH])
+            for at in range(0, len(ids), SCORED):
+                logs[at + 1 : at + 1 + SCORED] = net.log_probabilities(around[at : at + SCORED], ids[at : at + SCORED])
             logs[1:] += share
             total = np.cumsum(logs)
             n = np.diff(first)

@@ -527,3 +527,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert item not in text[70] and text[70] and text[3] == base[3][1]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(text)
+
+
+def test_network_in_reused_space_is_a_fresh_one():
+    rng = np.random.default_rng(5)
+    context, target = rng.integers(0, lm.VOCAB, (900, 4)), rng.integers(0, lm.VOCAB - 1, 900)
+    used = lm.Network(lm.start())
+    used.log_probabilities(context, target)
+    space = used._rooms["slot"]
+    for n in (7, 300, 1):
+        assert np.array_equal(used.log_probabilities(context[:n], target[:n]), lm.Network(lm.start()).log_probabilities(context[:n], target[:n]))
+    assert used._rooms["slot"] is space
+    # values that leave float's range without the row's maximum
+    used._rooms.clear()
+    used.flat *= 200
+    assert np.isfinite(used.log_probabilities(context, target)).all()
