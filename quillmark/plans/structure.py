@@ -56,9 +56,11 @@ def manuscripts(spark: SparkSession, d: str) -> DataFrame:
     )
     sections = orders.join(tables, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderstatus", "o_orderkey", text.alias("t"))
     numeral = F.element_at(F.array(F.lit("Ⅰ"), F.lit("Ⅱ"), F.lit("Ⅲ")), F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus")).cast("int"))
-    parts = sections.groupBy("o_custkey", "o_orderstatus").agg(F.concat(F.lit("# "), numeral, F.lit(". "), "o_orderstatus", F.lit("\n\n"), _joined(F.collect_list(F.struct(F.col("o_orderkey").alias("at"), "t")))).alias("t"))
-    whole = parts.groupBy("o_custkey").agg(_joined(F.collect_list(F.struct(F.col("o_orderstatus").alias("at"), "t"))).alias("text"))
-    return whole.select("o_custkey", F.concat(F.format_string("Report of %d\n", "o_custkey"), "text").alias("text"))
+    # a customer's sections meet once, in order of their parts; the first of each opens its part
+    by = F.array_sort(F.collect_list(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("at"), F.concat(F.lit("# "), numeral, F.lit(". "), "o_orderstatus", F.lit("\n\n")).alias("head"), "t")))
+    whole = sections.groupBy("o_custkey").agg(by.alias("s"))
+    first = lambda x, i: F.when((i > 0) & (F.get("s", i - 1)["status"] == x["status"]), x["t"]).otherwise(F.concat(x["head"], x["t"]))
+    return whole.select("o_custkey", F.concat(F.format_string("Report of %d\n", "o_custkey"), F.array_join(F.transform("s", first), "\n")).alias("text"))
 
 
 _SECTIONS = """
@@ -76,10 +78,7 @@ UNION ALL SELECT DISTINCT o_custkey, NULL, 0, 0, 0, 0, 0, 0, 0, 0, 1, NULL FROM
 def manuscript_outline(spark: SparkSession, d: str) -> DataFrame:
     """Blocks per part of each report."""
     lines = manuscript.in_parts(markdown.lines(manuscripts(spark, d), "o_custkey", "text"), "o_custkey")
-    found = manuscript.blocks(lines, "o_custkey").join(lines.select("o_custkey", "line", "numeral"), ["o_custkey", "line"])
-    counts = manuscript.outline(found, "o_custkey", "numeral")
-    rows = found.groupBy("o_custkey", "numeral").agg(F.sum(F.size("rows").cast("bigint")).alias("rows"))
-    return counts.join(rows, counts["o_custkey"].eqNullSafe(rows["o_custkey"]) & counts["numeral"].eqNullSafe(rows["numeral"])).select(counts["*"], "rows")
+    return manuscript.outline(manuscript.blocks(lines, "o_custkey", "numeral"), "o_custkey", "numeral")
 
 
 @query(f"""{_SECTIONS}
@@ -87,7 +86,7 @@ SELECT o_custkey, numeral, numeral || '_' || CASE numeral WHEN 'Ⅰ' THEN 'F' WH
 UNION ALL SELECT DISTINCT o_custkey, NULL, '00_서문.md', 0 FROM o""")
 def manuscript_parts(spark: SparkSession, d: str) -> DataFrame:
     """The modules that each report is cut into."""
-    found = manuscript.parts(markdown.lines(manuscripts(spark, d), "o_custkey", "text"), "o_custkey", nested=True)
+    found = manuscript.parts_of(manuscripts(spark, d), "o_custkey", "text", nested=True)
     return found.select("o_custkey", "numeral", "name", F.size(F.regexp_extract_all("text", F.lit(r"(?m)^## Order \d+$"), F.lit(0))).cast("bigint").alias("sections"))
 
 

@@ -40,9 +40,9 @@ def _cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|", -1), _bare)
 
 
-def classified(numbered: DataFrame, key: str) -> DataFrame:
+def classified(numbered: DataFrame, key: str, *carried: str) -> DataFrame:
     """key, line, s, kind: what each line is by itself: blank, a block kind, `row` of a table or
-    one of the captions (table_caption, figure_caption)."""
+    one of the captions (table_caption, figure_caption); and the carried columns."""
     s = F.col("s")
     hashes = F.length(F.regexp_extract(s, r"^(#{1,4})\s+", 1))
     kind = (
@@ -58,7 +58,7 @@ def classified(numbered: DataFrame, key: str) -> DataFrame:
         .when(s.startswith("- "), "body2")
         .otherwise("body1")
     )
-    return numbered.select(key, "line", _bare(F.col("content")).alias("s")).select(key, "line", "s", kind.alias("kind"))
+    return numbered.select(key, "line", _bare(F.col("content")).alias("s"), *carried).select(key, "line", "s", kind.alias("kind"), *carried)
 
 
 def _text(s: Column, kind: Column) -> Column:
@@ -75,9 +75,10 @@ def _text(s: Column, kind: Column) -> Column:
     )
 
 
-def blocks(numbered: DataFrame, key: str) -> DataFrame:
+def blocks(numbered: DataFrame, key: str, *carried: str) -> DataFrame:
     """key, line, t, text, caption, fmt, src, rows, alt, path: the blocks of each document in
-    order of their first line. numbered: key, line, content.
+    order of their first line, with the carried columns of that line. numbered: key, line,
+    content, carried.
 
     Kinds t are title, h1, h2, h3, body1, body2, note, footnote, image and table. A table is a
     run of lines that begin with a bar, without its rules; a run of rules alone is none. Its
@@ -85,7 +86,7 @@ def blocks(numbered: DataFrame, key: str) -> DataFrame:
     further notes are blocks. The last figure caption after an image is the image's; without an
     image before it, it is dropped, like a table caption that no table follows. fmt is the
     format that a caption asks for: A, B or matrix, else empty. Blank lines end a run only."""
-    lines = classified(numbered, key)
+    lines = classified(numbered, key, *carried)
     w = Window.partitionBy(key).orderBy("line")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     is_row = F.col("kind") == "row"
@@ -118,7 +119,7 @@ def blocks(numbered: DataFrame, key: str) -> DataFrame:
     parts = rows.withColumn("role", role).where("role is not null")
     last = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("s")), F.when(F.col("kind") == kind, F.col("line")))
     main = F.col("opens") | (F.col("event").isNotNull() & ~F.col("source_line"))
-    own = F.struct("line", F.col("event").alias("t"), "s")
+    own = F.struct("line", F.col("event").alias("t"), "s", *carried)
     body = F.collect_list(F.when(F.col("table") & ~F.col("rule"), F.struct("line", _cells(F.col("s")).alias("cells"))))
     whole = parts.groupBy(key, "role").agg(
         F.min(F.when(main, own)).alias("own"),
@@ -134,6 +135,7 @@ def blocks(numbered: DataFrame, key: str) -> DataFrame:
     return whole.where("own is not null").select(
         key,
         F.col("own.line").alias("line"),
+        *[F.col(f"own.{c}").alias(c) for c in carried],
         t.alias("t"),
         _text(s, t).alias("text"),
         F.when(t == "table", F.coalesce(F.regexp_replace(caption, FORMAT, ""), F.lit(""))).when(t == "image", F.coalesce(_bare(F.substring("figure_caption", len(FIGURE_MARK) + 1, 1 << 30)), F.lit(""))).alias("caption"),
@@ -146,7 +148,7 @@ def blocks(numbered: DataFrame, key: str) -> DataFrame:
 
 
 def outline(found: DataFrame, *by: str) -> DataFrame:
-    """by and counts of blocks: headings of each level, tables, figures with a caption or an
+    """by and counts of blocks: rows (of all tables; null if there is none), headings of each level, tables, figures with a caption or an
     alternative text, sources (of tables, and notes), footnotes, paragraphs."""
     t = F.col("t")
     count = lambda *kinds: F.count_if(t.isin(*kinds))
@@ -158,6 +160,7 @@ def outline(found: DataFrame, *by: str) -> DataFrame:
         F.count_if((t == "note") | ((t == "table") & (F.col("src") != ""))).alias("sources"),
         count("footnote").alias("footnotes"),
         count("body1", "body2", "note", "footnote").alias("paragraphs"),
+        F.sum(F.size("rows").cast("bigint")).alias("rows"),
     )
 
 
@@ -184,12 +187,28 @@ def parts(numbered: DataFrame, key: str, nested: bool = False) -> DataFrame:
     first one is the preface, which is dropped if it is blank. In parts of the second level every
     heading goes up by one. nested: modules lie in a folder below, so relative link targets get
     ../ before them. Names leave out white space, slashes and colons of the title."""
-    line = F.when(F.col("promoted") & F.col("content").rlike(r"^#{2,5}\s"), F.substring("content", 2, 1 << 30)).otherwise(F.col("content"))
+    whole = numbered.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]).alias("_lines"))
+    return _cut(whole, key, nested)
+
+
+def parts_of(docs: DataFrame, key: str, text: str, nested: bool = False) -> DataFrame:
+    """parts of whole texts, which are cut where they are: nothing is shuffled or sorted."""
+    return _cut(docs.select(key, F.split(text, "\n", -1).alias("_lines")), key, nested)
+
+
+def _cut(docs: DataFrame, key: str, nested: bool) -> DataFrame:
+    """parts of documents with their lines in an array: chapters are places in it, parts slices."""
+    head = lambda x, at: F.when(x.rlike(CHAPTER), F.struct((at + 1).alias("at"), *[F.regexp_extract(x, CHAPTER, i).alias(n) for i, n in ((1, "hashes"), (2, "numeral"), (3, "title"))]))
+    preface = F.struct(F.lit(1).alias("at"), *[F.lit(None).cast("string").alias(n) for n in ("hashes", "numeral", "title")])
+    heads = docs.select(key, "_lines", F.concat(F.array(preface), F.array_compact(F.transform("_lines", head))).alias("_heads"))
+    rows = heads.select(key, "_lines", F.transform("_heads", lambda h: h["at"]).alias("_at"), F.posexplode("_heads").alias("part", "h"))
+    ends = F.coalesce(F.get("_at", F.col("part") + 1), F.size("_lines") + 1)
+    rows = rows.select(key, "part", F.col("h.numeral").alias("numeral"), F.col("h.title").alias("title"), (F.col("h.hashes") == "##").alias("promoted"), F.slice("_lines", F.col("h.at"), ends - F.col("h.at")).alias("_lines"))
+    raised = lambda x: F.when(x.rlike(r"^#{2,5}\s"), F.substring(x, 2, 1 << 30)).otherwise(x)
+    lines = F.when(F.col("promoted"), F.transform("_lines", raised)).otherwise(F.col("_lines"))
     if nested:
-        line = F.regexp_replace(line, r"\]\((?!http|/|\.\.)([^)]*)\)", "](../$1)")
-    rows = in_parts(numbered, key).withColumn("content", line)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")
-    out = rows.groupBy(key, "part").agg(F.first("numeral").alias("numeral"), F.first("title").alias("title"), text.alias("text"))
+        lines = F.transform(lines, lambda x: F.regexp_replace(x, r"\]\((?!http|/|\.\.)([^)]*)\)", "](../$1)"))
+    out = rows.select(key, "part", "numeral", "title", F.array_join(lines, "\n").alias("text"))
     name = F.when(F.col("part") == 0, PREFACE).otherwise(F.concat("numeral", F.lit("_"), F.regexp_replace("title", r"[\s/:]+", ""), F.lit(".md")))
     ended = F.when((F.col("text") != "") & ~F.endswith("text", F.lit("\n")), F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
     return out.where((F.col("part") > 0) | F.col("text").rlike(r"\S")).select(key, "part", "numeral", "title", name.alias("name"), ended.alias("text"))

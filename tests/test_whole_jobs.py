@@ -2,6 +2,7 @@
 
 from quillmark.catalog import table
 from quillmark.plans import ledgers
+from quillmark.sources import manuscript, markdown
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,3 +16,14 @@ def test_every_page_is_decoded(spark):
 def test_every_unit_is_resolved(spark):
     found = {r.unit: (r.dimension, r.power) for r in ledgers.unit_table(spark, FOLDER).collect()}
     assert len(found) == 15 and found["백만 EUR"] == ("EUR", 6) and found["USD_X"] == ("UNSUPPORTED", 0) and found[""] == (None, 0)
+
+
+def test_parts_and_blocks_from_one_pass(spark):
+    text = "intro\n# Ⅰ. One/a\n## h\n![i](x.png)\n## Ⅱ. Two\n### deep\nend"
+    docs = spark.createDataFrame([(1, text), (2, "no chapter"), (3, "# Ⅰ. only"), (4, "")], "k int, t string")
+    lines = markdown.lines(docs, "k", "t")
+    whole = sorted(tuple(r) for r in manuscript.parts_of(docs, "k", "t", nested=True).collect())
+    assert whole == sorted(tuple(r) for r in manuscript.parts(lines, "k", nested=True).collect())
+    assert [r[4] for r in whole] == ["00_서문.md", "Ⅰ_Onea.md", "Ⅱ_Two.md", "00_서문.md", "Ⅰ_only.md"] and whole[2][5] == "# Ⅱ. Two\n## deep\nend\n" and "](../x.png)" in whole[1][5]
+    found = manuscript.blocks(manuscript.in_parts(lines, "k"), "k", "numeral").where("k = 1").orderBy("line").collect()
+    assert [(r.t, r.numeral) for r in found] == [("body1", None), ("title", "Ⅰ"), ("h1", "Ⅰ"), ("image", "Ⅰ"), ("h1", "Ⅱ"), ("h2", "Ⅱ"), ("body1", "Ⅱ")]
