@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.functions import arrow
+
 #: Bytes of a page in which a declared character set counts.
 HEAD = 2048
 # Encodings tried for a local file, in this order.
@@ -32,8 +34,8 @@ def meta_charset(raw: Column) -> Column:
     return F.get(F.filter(named, lambda n: n != ""), F.lit(0))
 
 
-@F.pandas_udf(T.StringType())
-def decoded(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def decoded(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Bytes as text of a character set; an unknown one, or bytes that aren't of it, are read as
     UTF-8 with replacement characters. Python: Spark decodes a handful of character sets only."""
 
@@ -41,12 +43,13 @@ def decoded(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         if raw is None:
             return None
         try:
-            return bytes(raw).decode(charset)
+            return raw.decode(charset)
         except (LookupError, UnicodeDecodeError):
-            return bytes(raw).decode("utf-8", errors="replace")
+            return raw.decode("utf-8", errors="replace")
 
-    for raws, charsets in columns:
-        yield pd.Series([one(r, c) for r, c in zip(raws, charsets, strict=True)])
+    for batch in columns:
+        for raws, charsets in arrow.slices(*batch):
+            yield pa.array([one(r, c) for r, c in zip(raws.to_pylist(), charsets.to_pylist(), strict=True)], pa.string())
 
 
 def page_text(raw: Column, content_type: Column) -> Column:
@@ -54,17 +57,18 @@ def page_text(raw: Column, content_type: Column) -> Column:
     return decoded(raw, F.coalesce(header_charset(content_type), meta_charset(raw), F.lit("utf-8")))
 
 
-@F.pandas_udf(T.StringType())
-def file_text(raws: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def file_text(raws: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Bytes of a file as text of the first of FILE_ENCODINGS that they are."""
 
     def one(raw):
         for encoding in FILE_ENCODINGS if raw is not None else ():
             try:
-                return bytes(raw).decode(encoding)
+                return raw.decode(encoding)
             except UnicodeDecodeError:
                 pass
         return None
 
-    for raw in raws:
-        yield raw.map(one)
+    for batch in raws:
+        for part in arrow.slices(batch):
+            yield pa.array([one(raw) for raw in part.to_pylist()], pa.string())
