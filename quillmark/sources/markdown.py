@@ -8,11 +8,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.functions import arrow
 from quillmark.functions.text import collapse
 
 APPENDIX_MARK = r"(?m)^[ \t]*<!--\s*FACTSHEET:APPENDIX\s*-->[ \t]*$"
@@ -212,10 +213,12 @@ def segments_of(text: str) -> list[str]:
     return [s for s in out if s]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def segments(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: segments_of(t) if isinstance(t, str) else [])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def segments(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Sentences of each text; of a batch, some texts at a time are Python objects."""
+    for batch in texts:
+        for part in arrow.slices(batch):
+            yield pa.array([segments_of(t) if t is not None else [] for t in part.to_pylist()], pa.list_(pa.string()))
 
 
 def tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
