@@ -144,7 +144,10 @@ def quantiles(df: DataFrame, value: str, ps: list[float], by: list[str] = []) ->
 def boxplot(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """q1, median, q3, whiskers (the farthest rows within 1.5 times the box), n and outliers."""
     box = selection.order_statistics(df, value, {"q1": ("at", 0.25), "median": ("at", 0.5), "q3": ("at", 0.75)}, by).drop("n")
-    rows = df.select(*by, value).join(box, by) if by else df.select(value).crossJoin(F.broadcast(box))
+    # a group's rows meet its box in many tasks
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(selection.SHARES - 1).cast("long")))
+    dealt = df.select(*by, value).withColumn("_share", F.pmod(F.xxhash64(value), F.lit(selection.SHARES)))
+    rows = dealt.join(box.withColumn("_share", shares), [*by, "_share"]) if by else df.select(value).crossJoin(F.broadcast(box))
     iqr = F.col("q3") - F.col("q1")
     inside = F.col(value).between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return rows.groupBy(*by, "q1", "median", "q3").agg(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: A sketch of this accuracy misses a rank by at most 1 / ACCURACY of the group; windows are
 #: taken twice as wide on both sides.
 ACCURACY = 10_000
+#: Tasks that the rows of one group are dealt over.
+SHARES = 64
 
 
 def order_statistics(df: DataFrame, value: str, wanted: dict[str, tuple], by: list[str] = [], accuracy: int = ACCURACY) -> DataFrame:  # noqa: B006
@@ -35,7 +37,10 @@ def order_statistics(df: DataFrame, value: str, wanted: dict[str, tuple], by: li
         places.append(F.struct(F.lit(i).alias("i"), at.alias("at"), F.when(few, F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"), F.when(few, F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi")))
     bounds = groups.select(*[F.col(k).alias(f"{k}b") for k in keys], F.array(*places).alias("_p"))
     same = [F.col(k).eqNullSafe(F.col(f"{k}b")) for k in keys]
-    joined = rows.join(bounds, same, "inner") if keys else rows.join(F.broadcast(bounds))  # one row
+    # a group's rows are dealt over SHARES tasks at least, each with its copy of the bounds
+    share = F.pmod(F.xxhash64("_v"), F.lit(SHARES))
+    copies = bounds.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    joined = rows.withColumn("_of", share).join(copies, [*same, F.col("_of") == F.col("_share")], "inner") if keys else rows.join(F.broadcast(bounds))  # one row
     # one row per place a value matters for: below its bounds (counted only) or between them
     hits = joined.select(*keys, "_v", F.explode(F.filter("_p", lambda p: F.col("_v") <= p["hi"])).alias("p"))
     inside = F.col("_v") >= F.col("p.lo")
