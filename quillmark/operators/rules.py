@@ -10,16 +10,26 @@ from quillmark.functions.text import iso_time
 _KIND = {"string": "STRING", "integer": "BIGINT", "number": "(?:BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "object": "(?:OBJECT|STRUCT|MAP).*", "array": "ARRAY.*", "null": "VOID"}
 
 
-def field_rules(raw: Column, name: str, spec: dict, enums: dict[str, list[str]], required: bool = False) -> list[Column]:
-    """Rules of one field of a JSON object, read from its raw text: a parsed struct would have
-    turned a wrong type into null. Each is a code, or null where it is kept.
+def _once(value: Column, use) -> Column:
+    """use(value), with the value worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def field_rules(raw: Column, parsed: Column, name: str, spec: dict, enums: dict[str, list[str]], required: bool = False) -> Column:
+    """Array of the rules of one field of a JSON object, read from its raw text and the variant
+    parsed from it: a parsed struct would have turned a wrong type into null. Each is a code, or
+    null where it is kept.
 
     spec: type (one or several), enum_ref or enum, pattern, format (iso-time, date-time,
     decimal), minLength, minItems, allowEmpty, properties, required, additionalProperties."""
-    value = F.try_variant_get(F.try_parse_json(raw), f"$.{name}", "variant")
-    kind = F.schema_of_variant(value)
+    at = F.try_variant_get(parsed, f"$.{name}", "variant")
+    seen = lambda value: F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text"))
+    return _once(at, lambda value: _once(seen(value), lambda x: _of_field(raw, parsed, x, name, spec, enums, required)))
+
+
+def _of_field(raw: Column, parsed: Column, x: Column, name: str, spec: dict, enums: dict[str, list[str]], required: bool) -> Column:
+    value, kind, text = x["value"], x["kind"], x["text"]
     there = value.isNotNull() & (kind != "VOID")
-    text = F.try_variant_get(value, "$", "string")
     say = lambda rule, bad: F.when(there & F.coalesce(bad, F.lit(False)), F.lit(f"{name}: {rule}"))
     out = []
     if required:
@@ -54,22 +64,24 @@ def field_rules(raw: Column, name: str, spec: dict, enums: dict[str, list[str]],
         known = F.array(*[F.lit(k) for k in spec.get("properties", {})]) if spec.get("properties") else F.array().cast("array<string>")
         names = F.json_object_keys(F.get_json_object(raw, f"$.{name}"))
         out.append(say("unknown field", F.size(F.array_except(names, known)) > 0))
-    for key, inner in spec.get("properties", {}).items():
-        nested = field_rules(raw, f"{name}.{key}", inner, enums, key in spec.get("required", []))
-        out += [F.when(there, rule) for rule in nested]
-    return out
+    none = F.array().cast("array<string>")
+    nested = [F.when(there, field_rules(raw, parsed, f"{name}.{key}", inner, enums, key in spec.get("required", []))).otherwise(none) for key, inner in spec.get("properties", {}).items()]
+    return F.concat(F.array(*out).cast("array<string>"), *nested)
 
 
 def compile_rules(raw: Column, schema: dict, enums: dict[str, list[str]]) -> Column:
     """Array of violated rules of a JSON object in a text column."""
+    return _once(F.try_parse_json(raw), lambda parsed: _of_object(raw, parsed, schema, enums))
+
+
+def _of_object(raw: Column, parsed: Column, schema: dict, enums: dict[str, list[str]]) -> Column:
+    fields = [field_rules(raw, parsed, name, spec, enums, name in schema.get("required", [])) for name, spec in schema.get("properties", {}).items()]
     rules = []
-    for name, spec in schema.get("properties", {}).items():
-        rules += field_rules(raw, name, spec, enums, name in schema.get("required", []))
     if schema.get("additionalProperties") is False:
         known = F.array(*[F.lit(k) for k in schema.get("properties", {})])
         rules.append(F.when(F.size(F.array_except(F.json_object_keys(raw), known)) > 0, F.lit("unknown field")))
-    rules.append(F.when(F.try_parse_json(raw).isNull(), F.lit("not json")))
-    return F.array_compact(F.array(*rules))
+    rules.append(F.when(parsed.isNull(), F.lit("not json")))
+    return F.array_compact(F.concat(*fields, F.array(*rules)))
 
 
 def version_rules(raw: Column) -> Column:
