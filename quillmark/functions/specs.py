@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 FORBIDDEN = r'[\\/:*?"<>|]'
 NAME_LENGTH = 40
 
-_STRING = r'"(?:[^"\\]|\\.)*"'
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+# a string as it is, or a whole number written with zeros after its point (of -0.0, without sign)
+_WHOLE = rf"({_STRING})|(?<![\d.eE+-])(?:-(?=0+\.0+(?![\deE])))?+(-?\d{{1,32}})\.0+(?![\deE])"
+# what that leaves: exponents, and more digits than a decimal(38,6) has
+_ODD = r"\d[eE]|\.\d{7}"
 _NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
 
 
@@ -29,6 +33,12 @@ def _whole(n: Column) -> Column:
 def spec_numbers(json: Column) -> Column:
     """A JSON text whose whole-valued numbers are written as integers (200.0 as 200, 1.5E3 as
     1500); what stands in strings isn't touched. Null stays null. Numbers beyond 38 digits stay."""
+    plain = F.regexp_replace(json, _WHOLE, "$1$2")
+    return F.when(json.rlike(_ODD), _by_value(json)).otherwise(plain)
+
+
+def _by_value(json: Column) -> Column:
+    """spec_numbers number by number."""
     outside = F.split(json, _STRING, -1)
     numbers = lambda part: _woven(F.split(part, _NUMBER, -1), F.transform(F.regexp_extract_all(part, F.lit(_NUMBER), F.lit(0)), _whole))
     return _woven(F.transform(outside, numbers), F.regexp_extract_all(json, F.lit(_STRING), F.lit(0)))
