@@ -22,12 +22,13 @@ _DOI = r"10\.\d{4,9}/[^\s\"'<>?#]+"
 def meta_values(html: Column, *names: str) -> Column:
     """Contents of meta elements with one of these names or properties, in order of the names,
     whichever attribute comes first."""
-    found = []
+    found, low = [], F.lower(html)
     for name in names:
         n = name.replace(".", r"\.")
         label = rf"(?:name|property)\s*=\s*[\"']{n}[\"']"
         for pattern in (rf"(?is)<meta\s[^>]*?{label}[^>]*?content\s*=\s*[\"']([^\"']*)[\"']", rf"(?is)<meta\s[^>]*?content\s*=\s*[\"']([^\"']*)[\"'][^>]*?{label}"):
-            found.append(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)))
+            # most pages lack most names, and a search for a name costs a fraction of the pattern
+            found.append(F.when(F.contains(low, F.lit(name.lower())), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>")))
     return F.filter(F.array_distinct(F.flatten(F.array(*found))), lambda v: F.trim(v) != "")
 
 
