@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Documents whose lists Python holds at a time.
+LISTS = 500
+
 
 def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
     """Places (in a, in b) of a longest common subsequence.
@@ -45,34 +49,42 @@ def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
     return [(i, i) for i in range(lo)] + middle[::-1] + tail
 
 
+_STEPS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
+
+
+@F.arrow_udf(_STEPS)
+def _steps(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Places (i, j) of the items of two lists, each once: matches together, others with null."""
+    for left, right in batches:
+        for at in range(0, len(left), LISTS):
+            ends, own, other = [0], [], []
+            for a, b in zip(left.slice(at, LISTS).to_pylist(), right.slice(at, LISTS).to_pylist(), strict=True):
+                if None in a or None in b:  # a null item matches none
+                    a, b = ([(side, n) if x is None else x for n, x in enumerate(items)] for side, items in enumerate((a, b)))
+                pairs = common_subsequence(a, b)
+                ours, theirs = {i for i, _ in pairs}, {j for _, j in pairs}
+                lost, new = [i for i in range(len(a)) if i not in ours], [j for j in range(len(b)) if j not in theirs]
+                own += [i for i, _ in pairs] + lost + [None] * len(new)
+                other += [j for _, j in pairs] + [None] * len(lost) + new
+                ends.append(len(own))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(own, pa.int32()), pa.array(other, pa.int32())], ["i", "j"]))
+
+
 def aligned(expected: DataFrame, found: DataFrame, key: str, place: str, item: str) -> DataFrame:
     """key, expected_place, found_place, item, state: every row of both lists once, matched rows
     (a longest common subsequence) together; state is match, missing (expected alone) or extra
     (found alone).
 
-    A document's two lists meet in one task; lists are as long as documents. A null item
-    matches none."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sides = []
-        for t in (left, right):
-            t = t.sort_by("place")
-            sides.append((t.column("key").to_pylist(), t.column("place").to_pylist(), t.column("item").to_pylist()))
-        (ka, pa_, ia), (kb, pb, ib) = sides
-        unlike = lambda items, side: [(side, n) if x is None else x for n, x in enumerate(items)]
-        pairs = common_subsequence(unlike(ia, 0), unlike(ib, 1))
-        ours, theirs = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows = [(ka[i], pa_[i], pb[j], ia[i], "match") for i, j in pairs]
-        rows += [(ka[i], pa_[i], None, ia[i], "missing") for i in range(len(ia)) if i not in ours]
-        rows += [(kb[j], None, pb[j], ib[j], "extra") for j in range(len(ib)) if j not in theirs]
-        schema = pa.schema([("key", left.schema.field("key").type), ("expected_place", left.schema.field("place").type), ("found_place", left.schema.field("place").type), ("item", pa.string()), ("state", pa.string())])
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
-
-    plain = lambda df: df.select(F.col(key).alias("key"), F.col(place).alias("place"), F.col(item).cast("string").alias("item"))
-    a, b = plain(expected), plain(found)
-    kind, at = a.schema["key"].dataType, a.schema["place"].dataType
-    out = T.StructType([T.StructField(n, t) for n, t in (("key", kind), ("expected_place", at), ("found_place", at), ("item", T.StringType()), ("state", T.StringType()))])
-    return a.groupBy("key").cogroup(b.groupBy("key")).applyInArrow(run, out).withColumnRenamed("key", key)
+    A document's two lists meet in one row; lists are as long as documents. Python sees the items
+    of many documents at a time and gives places only. A null item matches none."""
+    plain = lambda df, side: df.select(F.col(key).alias("key"), F.lit(side).alias("side"), F.struct(F.col(place).isNull().alias("last"), F.col(place).alias("place"), F.col(item).cast("string").alias("item")).alias("x"))
+    side = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("x"))))
+    both = plain(expected, 0).unionByName(plain(found, 1)).groupBy("key").agg(side(0).alias("a"), side(1).alias("b"))
+    items = lambda c: F.transform(c, lambda x: x["item"])
+    rows = both.select("key", "a", "b", F.explode(_steps(items("a"), items("b"))).alias("s"))
+    rows = rows.select("key", F.get("a", F.col("s.i")).alias("a"), F.get("b", F.col("s.j")).alias("b"))
+    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("match")
+    return rows.select(F.col("key").alias(key), F.col("a.place").alias("expected_place"), F.col("b.place").alias("found_place"), F.coalesce("a.item", "b.item").alias("item"), state.alias("state"))
 
 
 def gaps(rows: DataFrame, key: str) -> DataFrame:

@@ -6,8 +6,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from quillmark.catalog import table
 from quillmark.functions import quantity
 from quillmark.operators import alignment, citations, options
+from quillmark.llm.storage import written
 from quillmark.sources import forms, manuscript, markdown
 
 QUERIES: dict = {}
@@ -134,7 +136,7 @@ def aligned_lines(spark: SparkSession, d: str) -> DataFrame:
 def aligned_copies(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of each document against those of the one before it that begins with the same
     sentence: what near copies share, in order. Tests compare it with a table of all prefixes."""
-    docs = table(spark, d, "documents").select("doc_id", markdown.segments("text").alias("s")).where(F.size("s") > 0)
+    docs = written(table(spark, d, "documents").select("doc_id", markdown.segments("text").alias("s")).where(F.size("s") > 0))
     pairs = docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy(F.xxhash64(F.col("s")[0]), F.col("s")[0]).orderBy("doc_id")).alias("other")).where("other is not null")
     listed = lambda by: pairs.join(docs.withColumnRenamed("doc_id", by), by).select("doc_id", F.posexplode("s").alias("place", "item"))
     rows = alignment.aligned(listed("other"), listed("doc_id"), "doc_id", "place", "item")
@@ -165,9 +167,9 @@ _FORM_HEADER = (
 )
 
 
-@F.pandas_udf(T.BinaryType())
-def _archive(header: pd.Series, section: pd.Series) -> pd.Series:
-    """Archives with these two members."""
+@F.arrow_udf(T.BinaryType())
+def _archive(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Archives with these two members, a few hundred at a time."""
 
     def one(head: str, body: str) -> bytes:
         out = io.BytesIO()
@@ -176,7 +178,9 @@ def _archive(header: pd.Series, section: pd.Series) -> pd.Series:
             z.writestr(forms.SECTION, body)
         return out.getvalue()
 
-    return pd.Series([one(h, s) for h, s in zip(header, section, strict=True)])
+    for heads, bodies in batches:
+        for at in range(0, len(heads), 256):
+            yield pa.array([one(h, s) for h, s in zip(heads.slice(at, 256).to_pylist(), bodies.slice(at, 256).to_pylist(), strict=True)], pa.binary())
 
 
 def form_files(spark: SparkSession, d: str) -> DataFrame:
