@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of texts that leave Python together.
+HELD = 1 << 20
 HEADER, SECTION = "Contents/header.xml", "Contents/section0.xml"
 
 
@@ -21,28 +23,35 @@ def containers(spark: SparkSession, path: str) -> DataFrame:
 def members(files: DataFrame, key: str = "path", content: str = "content", names: tuple[str, ...] = (HEADER, SECTION), most: int = 64 << 20) -> DataFrame:
     """key, name, text: the named members of each archive, one row each, as UTF-8.
 
-    One archive is open at a time. A file that is no archive, and a member that is larger than
+    One archive is open at a time, and texts of some HELD bytes are sent together. A file that is no archive, and a member that is larger than
     `most` unpacked, is an error with its key; a member that isn't there has no row; null content
     has none. Python: Spark's sources don't open archives."""
 
     def run(batches):
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], batch.schema.field(0).type), pa.array([n for _, n, _ in found], pa.string()), pa.array([t for _, _, t in found], pa.string())], ["key", "name", "text"])
+
         for batch in batches:
+            found, held = [], 0
             for i in range(batch.num_rows):
                 name, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 if raw is None:
                     continue
-                found = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
                         for info in archive.infolist():
                             if info.filename in names:
                                 if info.file_size > most:
                                     raise ValueError(f"{info.filename} is too large")
-                                found.append((info.filename, archive.read(info).decode("utf-8")))
+                                found.append((name, info.filename, archive.read(info).decode("utf-8")))
+                                held += info.file_size
                 except (zipfile.BadZipFile, ValueError) as error:
                     raise ValueError(f"{name}: {error}") from error
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), batch.schema.field(0).type), pa.array([n for n, _ in found]), pa.array([t for _, t in found])], ["key", "name", "text"])
+                if held > HELD:
+                    yield rows()
+                    found, held = [], 0
+            if found:
+                yield rows()
 
     source = files.select(F.col(key).alias("key"), F.col(content).alias("content"))
     schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("name", T.StringType()), T.StructField("text", T.StringType())])
@@ -58,40 +67,64 @@ def _elements(text: Column, tag: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rf'(?s)<hh:{tag} id="\d+".*?</hh:{tag}>'), F.lit(0))
 
 
+def _characters(text: Column) -> Column:
+    """Array of the character styles (id, font, pt, bold) of a header, with the name of the Hangul
+    face that each refers to."""
+    face = F.regexp_extract(text, r'(?s)<hh:fontface lang="HANGUL"[^>]*>(.*?)</hh:fontface>', 1)
+    fonts = F.transform(F.regexp_extract_all(face, F.lit(r'<hh:font id="\d+" face="[^"]+"'), F.lit(0)), lambda e: F.struct(_attribute(e, "id").alias("id"), F.regexp_extract(e, r'face="([^"]+)"', 1).alias("font")))
+
+    def styles(e: Column) -> Column:
+        named = F.filter(fonts, lambda f: f["id"] == F.regexp_extract(e, r'<hh:fontRef hangul="(\d+)"', 1).try_cast("int"))
+        # a face that is named twice gives the style twice
+        return F.transform(
+            F.when(F.size(named) > 0, F.transform(named, lambda f: f["font"])).otherwise(F.array(F.lit(""))),
+            lambda font: F.struct(_attribute(e, "<hh:charPr id").alias("id"), font.alias("font"), (F.coalesce(_attribute(e, "height"), F.lit(0)) / 100).alias("pt"), e.rlike(r"<hh:bold\s*/?>").alias("bold")),
+        )
+
+    return F.flatten(F.transform(_elements(text, "charPr"), styles))
+
+
+def _paragraphs(text: Column) -> Column:
+    """Array of the paragraph styles (id, align, left, line_spacing) of a header."""
+    left, spacing = r'<hc:left value="(\d+)"', r'<hh:lineSpacing type="([^"]+)" value="(\d+)"'
+
+    def style(e: Column) -> Column:
+        cased = lambda tail, g: F.nullif(F.regexp_extract(e, r"(?s)<hp:case[^>]*>.*?" + tail, g), F.lit(""))
+        plain = lambda tail, g: F.nullif(F.regexp_extract(e, tail, g), F.lit(""))
+        kind, value = (F.coalesce(cased(spacing, g), plain(spacing, g)) for g in (1, 2))
+        return F.struct(
+            _attribute(e, "<hh:paraPr id").alias("id"),
+            F.regexp_extract(e, r'<hh:align horizontal="([^"]+)"', 1).alias("align"),
+            F.coalesce(cased(left, 1), plain(left, 1)).cast("int").alias("left"),
+            F.coalesce(F.when(kind == "PERCENT", F.concat(value, F.lit("%"))).otherwise(value), F.lit("")).alias("line_spacing"),
+        )
+
+    return F.transform(_elements(text, "paraPr"), style)
+
+
+def _used(text: Column) -> Column:
+    """Array of the (para, char) that a section's paragraphs outside tables begin with."""
+    bare = F.regexp_replace(text, r"(?s)<hp:tbl .*?</hp:tbl>", "")
+    found = F.regexp_extract_all(bare, F.lit(r'<hp:p id="\d+" paraPrIDRef="\d+"[^>]*>\s*<hp:run charPrIDRef="\d+"'), F.lit(0))
+    return F.transform(found, lambda p: F.struct(_attribute(p, "paraPrIDRef").alias("para"), _attribute(p, "charPrIDRef").alias("char")))
+
+
+def _whole(parts: DataFrame, key: str) -> DataFrame:
+    """key, chars, paras, used: what a form defines and uses, in one row and from one pass."""
+    of = lambda name, array: F.flatten(F.collect_list(F.when(F.col("name") == name, array(F.col("text")))))
+    return parts.groupBy(key).agg(of(HEADER, _characters).alias("chars"), of(HEADER, _paragraphs).alias("paras"), of(SECTION, _used).alias("used"))
+
+
 def character_styles(parts: DataFrame, key: str) -> DataFrame:
     """key, id, font, pt, bold of the character styles that a header defines; the font is that of
     the Hangul face the style refers to."""
-    head = parts.where(F.col("name") == HEADER)
-    face = F.regexp_extract("text", r'(?s)<hh:fontface lang="HANGUL"[^>]*>(.*?)</hh:fontface>', 1)
-    fonts = head.select(key, F.explode(F.regexp_extract_all(face, F.lit(r'<hh:font id="\d+" face="[^"]+"'), F.lit(0))).alias("e"))
-    fonts = fonts.select(key, _attribute(F.col("e"), "id").alias("_font"), F.regexp_extract("e", r'face="([^"]+)"', 1).alias("font"))
-    e = F.col("e")
-    styles = head.select(key, F.explode(_elements(F.col("text"), "charPr")).alias("e")).select(
-        key,
-        _attribute(e, "<hh:charPr id").alias("id"),
-        (F.coalesce(_attribute(e, "height"), F.lit(0)) / 100).alias("pt"),
-        e.rlike(r"<hh:bold\s*/?>").alias("bold"),
-        F.regexp_extract(e, r'<hh:fontRef hangul="(\d+)"', 1).try_cast("int").alias("_font"),
-    )
-    return styles.join(fonts, [key, "_font"], "left").select(key, "id", F.coalesce("font", F.lit("")).alias("font"), "pt", "bold")
+    return parts.where(F.col("name") == HEADER).select(key, F.inline(_characters(F.col("text"))))
 
 
 def paragraph_styles(parts: DataFrame, key: str) -> DataFrame:
     """key, id, align, left, line_spacing of the paragraph styles; values for a case win over
     the plain ones. Spacing is a percentage or a number, empty if there is none."""
-    e = F.col("e")
-    rows = parts.where(F.col("name") == HEADER).select(key, F.explode(_elements(F.col("text"), "paraPr")).alias("e"))
-    cased = lambda tail, g: F.nullif(F.regexp_extract(e, r"(?s)<hp:case[^>]*>.*?" + tail, g), F.lit(""))
-    plain = lambda tail, g: F.nullif(F.regexp_extract(e, tail, g), F.lit(""))
-    left, spacing = r'<hc:left value="(\d+)"', r'<hh:lineSpacing type="([^"]+)" value="(\d+)"'
-    kind, value = (F.coalesce(cased(spacing, g), plain(spacing, g)) for g in (1, 2))
-    return rows.select(
-        key,
-        _attribute(e, "<hh:paraPr id").alias("id"),
-        F.regexp_extract(e, r'<hh:align horizontal="([^"]+)"', 1).alias("align"),
-        F.coalesce(cased(left, 1), plain(left, 1)).cast("int").alias("left"),
-        F.coalesce(F.when(kind == "PERCENT", F.concat(value, F.lit("%"))).otherwise(value), F.lit("")).alias("line_spacing"),
-    )
+    return parts.where(F.col("name") == HEADER).select(key, F.inline(_paragraphs(F.col("text"))))
 
 
 def page(parts: DataFrame, key: str) -> DataFrame:
@@ -106,23 +139,21 @@ def page(parts: DataFrame, key: str) -> DataFrame:
 def style_usage(parts: DataFrame, key: str) -> DataFrame:
     """key, para, char, n: how often paragraphs outside tables begin with a character style, by
     paragraph and character style."""
-    text = F.regexp_replace("text", r"(?s)<hp:tbl .*?</hp:tbl>", "")
-    found = F.regexp_extract_all(text, F.lit(r'<hp:p id="\d+" paraPrIDRef="\d+"[^>]*>\s*<hp:run charPrIDRef="\d+"'), F.lit(0))
-    rows = parts.where(F.col("name") == SECTION).select(key, F.explode(found).alias("p"))
-    return rows.groupBy(key, _attribute(F.col("p"), "paraPrIDRef").alias("para"), _attribute(F.col("p"), "charPrIDRef").alias("char")).agg(F.count(F.lit(1)).alias("n"))
+    rows = parts.where(F.col("name") == SECTION).select(key, F.inline(_used(F.col("text"))))
+    return rows.groupBy(key, "para", "char").agg(F.count(F.lit(1)).alias("n"))
 
 
 def form_usage(parts: DataFrame, key: str) -> DataFrame:
     """style_usage with what the styles are; a style that isn't defined has nulls and is left for
     undefined_styles."""
-    used = style_usage(parts, key)
-    chars = character_styles(parts, key).withColumnRenamed("id", "char")
-    paras = paragraph_styles(parts, key).withColumnRenamed("id", "para")
-    return used.join(chars, [key, "char"], "left").join(paras, [key, "para"], "left").select(key, "para", "char", "n", "font", "pt", "bold", "align", "left", "line_spacing")
+    count = lambda p: F.size(F.filter("used", lambda u: u.eqNullSafe(p))).cast("bigint")
+    rows = _whole(parts, key).select(key, "chars", "paras", F.explode(F.transform(F.array_distinct("used"), lambda p: F.struct(p["para"].alias("para"), p["char"].alias("char"), count(p).alias("n")))).alias("u"))
+    rows = rows.select(key, "paras", "u.*", F.explode_outer(F.filter("chars", lambda c: c["id"] == F.col("u.char"))).alias("c"))
+    rows = rows.select(key, "para", "char", "n", "c", F.explode_outer(F.filter("paras", lambda p: p["id"] == F.col("para"))).alias("p"))
+    return rows.select(key, "para", "char", "n", "c.font", "c.pt", "c.bold", "p.align", "p.left", "p.line_spacing")
 
 
 def undefined_styles(parts: DataFrame, key: str) -> DataFrame:
     """key, kind, id of styles that paragraphs use and the header doesn't define."""
-    used = style_usage(parts, key)
-    lost = lambda kind, defined: used.select(key, F.col(kind).alias("id")).distinct().join(defined.select(key, "id"), [key, "id"], "left_anti").select(key, F.lit(kind).alias("kind"), "id")
-    return lost("char", character_styles(parts, key)).union(lost("para", paragraph_styles(parts, key)))
+    lost = lambda kind, defined: F.transform(F.filter(F.array_distinct(F.transform("used", lambda u: u[kind])), lambda x: ~F.exists(defined, lambda s: F.coalesce(s["id"] == x, F.lit(False)))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("id")))
+    return _whole(parts, key).select(key, F.inline(F.concat(lost("char", "chars"), lost("para", "paras"))))
