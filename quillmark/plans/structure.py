@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from quillmark.catalog import table
 from quillmark.functions import quantity
 from quillmark.operators import alignment, citations, options
-from quillmark.llm.storage import written
 from quillmark.sources import forms, manuscript, markdown
+from quillmark.storage import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
